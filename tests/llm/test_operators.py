@@ -1,0 +1,405 @@
+"""Each operator against brute force, on small data with odd cases."""
+
+import hashlib
+import math
+from collections import Counter, defaultdict
+from zlib import crc32
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from formloom.llm import components, exact, lengths, lm, minhash, mixing, neighbours, pieces, quality, quotes, toxicity, trees, words
+
+SF = "/root/testdata/sf0.001"
+
+
+def word_list(text):
+    return (text or "").encode().lower().split()
+
+
+def shingles(text):
+    w = word_list(text)
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def rows_of(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def test_words_are_split_at_ascii_white_space():
+    texts = [None, "", "  A b\tC\n", "x\x0by\x0cz\r", "é\xa0É Ü", "a"]
+    got = words.split_words(pa.array(texts))
+    names = got.vocab.to_pylist()
+    assert [[names[i].encode() for i in got.ids[a:b]] for a, b in zip(got.offsets[:-1], got.offsets[1:])] == [word_list(t) for t in texts]
+
+
+def test_superminhash_estimates_similarity():
+    rng = np.random.default_rng(1)
+    errors = []
+    for n in (5, 40, 700):
+        for _ in range(30):
+            both, a, b = (rng.integers(0, 2**63, k).astype(np.uint64) for k in (n, n // 4, n // 4))
+            x, y = np.unique(np.concatenate([both, a])), np.unique(np.concatenate([both, b]))
+            sig = minhash.superminhash(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]))
+            errors.append((sig[0] == sig[1]).mean() - len(np.intersect1d(x, y)) / len(np.union1d(x, y)))
+    assert abs(np.mean(errors)) < 0.015 and np.std(errors) < 0.05
+
+
+def test_superminhash_permutes_lanes():
+    sig = minhash.superminhash(np.array([12345], np.uint64), np.array([0, 1]))
+    assert sorted((sig[0] >> np.uint64(56)).tolist()) == list(range(minhash.LANES))
+
+
+def groups(docs):
+    rows = [(r["doc_id"], shingles(r["text"])) for r in docs if r["doc_id"] is not None]
+    sets = components.UnionFind()
+    seen = defaultdict(list)
+    for n, (i, s) in enumerate(rows):
+        for j, t in rows[:n]:
+            if s and t and s & t and 100 * len(s & t) >= 75 * len(s | t):
+                sets.union(i, j)
+    del seen
+    return {i: (len(s), sets.find(i)) for i, s in rows}
+
+
+def test_near_duplicates_match_brute_force(docs):
+    want = groups(rows_of(docs))
+    got = rows_of(minhash.near_duplicates(docs))
+    assert len(got) == docs.count()
+    for r in got:
+        if r["doc_id"] is None:
+            assert r["component_id"] is None and r["kept"]
+        else:
+            assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
+            assert r["kept"] == (r["doc_id"] == r["component_id"])
+
+
+def test_near_duplicates_across_a_crowded_bucket(spark):
+    """A chain whose ends are not similar, and a crowd with a common passage that is not linked."""
+    rng = np.random.default_rng(3)
+    body = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+    chain = [" ".join([*(f"c{k}x{j}" for j in range(12 * k)), *body[12 * k :]]) for k in range(12)]
+    shared = [f"p{x}" for x in range(150)]
+    crowd = [" ".join([*shared, *(f"q{k}y{j}" for j in range(100))]) for k in range(60)]
+    rows = [{"doc_id": i, "text": t} for i, t in enumerate(chain + crowd + crowd[:3])]
+    want = groups(rows)
+    assert len({c for _, c in want.values()}) > 50
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows_of(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert got == want
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1400)] + [(7, 7), (None, 3), (2000, 2001), (2001, 2000)]
+    sets = components.UnionFind()
+    for a, b in links:
+        if a is not None:
+            sets.union(a, b)
+    got = components.connected_components(spark.createDataFrame(links, "a long, b long").repartition(6))
+    found = {r["node"]: r["component"] for r in rows_of(got)}
+    assert got.count() == len(found) and found == {i: sets.find(i) for i in found} and len(found) == 301 + 400 + 2
+
+
+def test_rice_code_round_trip():
+    rng = np.random.default_rng(2)
+    for n, universe in ((0, 100), (1, 1), (1, 2**40), (50, 60), (5000, 2**30)):
+        values = np.sort(rng.choice(universe, n, replace=False)) if universe < 10**6 else np.unique(rng.integers(0, universe, n))
+        k = exact.rice_parameter(len(values), universe)
+        code = exact.rice_encode(values.astype(np.int64), k)
+        assert (exact.rice_decode(code, len(values), k) == values).all()
+        assert n < 5000 or len(code) * 8 < 1.1 * n * (math.log2(universe / n) + 1.6)
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def test_exact_dedup_matches_brute_force(docs):
+    want = defaultdict(list)
+    for r in rows_of(docs):
+        want[lower(r["text"])].append(r["doc_id"])
+    got = rows_of(exact.exact_dedup(docs))
+    assert len(got) == docs.count()
+    by_hash = {hashlib.sha256(t.encode()).hexdigest(): ids for t, ids in want.items()}
+    for r in got:
+        ids = by_hash[r["text_sha256"]]
+        assert r["doc_id"] in ids and r["group_size"] == len(ids)
+        assert r["keep_id"] == max((i for i in ids if i is not None), default=None)
+    assert Counter(r["text_sha256"] for r in got if r["kept"]) == Counter(by_hash.keys())
+    assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
+    left = rows_of(exact.drop_exact_duplicates(docs))
+    assert sorted(lower(r["text"]) for r in left) == sorted(want)
+
+
+def test_small_owners_and_chunks(docs, monkeypatch):
+    monkeypatch.setattr(exact, "OWNER_ROWS", 20)
+    monkeypatch.setattr(exact, "SPARE_BITS", 1)
+    got = rows_of(exact.exact_dedup(docs))
+    assert sum(r["kept"] for r in got) == len({lower(r["text"]) for r in rows_of(docs)})
+
+
+def test_mix_targets():
+    sizes = {"b": 100, "a": 10, None: 50, "é": 1000}
+    got = mixing.mix_targets(sizes)
+    assert got["a"] == 20 and math.isclose(sum(got.values()), 1.5 * 1160)
+    assert all(got[s] <= 2 * sizes[s] for s in sizes)
+    assert mixing.mix_targets({}) == {} and mixing.mix_targets({"a": 0}) == {"a": 0}
+
+
+def test_mix_takes_near_its_targets(docs):
+    got = rows_of(mixing.mixed(docs).select("doc_id", "source", "text", "size", "source_size", "target", "taken"))
+    assert len(got) == docs.count()
+    by = defaultdict(list)
+    for r in got:
+        assert r["size"] == len(word_list(r["text"])) and r["taken"] <= 2 * r["size"] and (r["size"] == 0 or r["taken"] % r["size"] == 0)
+        by[r["source"]].append(r)
+    for own in by.values():
+        assert sum(r["size"] for r in own) == own[0]["source_size"]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
+    key = lambda r: (str(r["doc_id"]), str(r["text"]), r["taken"])
+    assert sorted(map(key, got)) == sorted(map(key, rows_of(mixing.mixed(docs.repartition(3)).select("doc_id", "text", "taken"))))
+    assert mixing.mix(docs).count() == sum(r["taken"] // r["size"] for r in got if r["size"]) + mixing.mix(docs).where("trim(coalesce(text, '')) = '' or text rlike '^[ \\\\s]+$'").count()
+
+
+@pytest.mark.parametrize("name", ["op4_mixing", "op10_exact_dedup"])
+def test_sql_agrees(spark, name):
+    from formloom.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.sql(queries.oracle_sql()[name]).df()
+    got = queries.queries()[name](spark, SF).toPandas()
+    columns = sorted(want.columns)
+    assert columns == sorted(got.columns)
+    for a, b in zip(got.sort_values("doc_id")[columns].values.tolist(), want.sort_values("doc_id")[columns].values.tolist(), strict=True):
+        assert all(x == y or (isinstance(x, float) and math.isclose(x, y)) for x, y in zip(a, b, strict=True))
+
+
+def test_lm_matches_brute_force(docs):
+    rows = [(r["doc_id"], word_list(r["text"])) for r in rows_of(docs)]
+    train = lambda i: i is None or crc32(str(i).encode()) % 5 != 1
+    uni, bi = Counter(), defaultdict(Counter)
+    for i, w in rows:
+        if train(i):
+            uni.update([*w, None])
+            for a, b in zip(["<s>", *w], [*w, None]):
+                bi[a][b] += 1
+    n, v = sum(uni.values()), len(uni)
+    p1 = lambda t: (uni[t] + 0.5) / (n + 0.5 * (v + 1))
+
+    def p2(a, b):
+        total = sum(bi[a].values()) if a in bi else 0
+        if not total:
+            return p1(b)
+        d = lm.DISCOUNT
+        return max(bi[a][b] - d, 0) / total + d * sum(c > 0 for c in bi[a].values()) / total * p1(b)
+
+    want = sorted((str(i), len(w) + 1, sum(uni[t] > 0 for t in [*w, None]), round(sum(math.log10(p1(t)) for t in [*w, None]), 4), round(sum(math.log10(p2(a, b)) for a, b in zip(["<s>", *w], [*w, None])), 4)) for i, w in rows if len(w) < 3000)
+    for sizes in ((4000, 9000), (1 << 23, 1 << 24)):
+        got = rows_of(lm.lm_scores(docs, *sizes))
+        assert {r["train_tokens"] for r in got} == {n}
+        assert all(r["held_out"] == (not train(r["doc_id"])) for r in got)
+        mine = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 4), round(r["score"], 4)) for r in got if r["n_tokens"] <= 3000)
+        assert len(mine) == len(want)
+        for a, b in zip(mine, want):
+            assert a[:3] == b[:3] and math.isclose(a[3], b[3], abs_tol=1e-3) and math.isclose(a[4], b[4], abs_tol=1e-3)
+
+
+def test_automaton_probabilities_sum_to_one():
+    """From any state, the arcs and the failure arc's share of the root make a distribution over words and the unknown."""
+    counts = {0: {0: 3, 1: 1}, 1: {2: 2}}
+    uni = np.array([4.0, 1, 2, 0.0])
+    n, v = uni.sum(), 3
+    root = np.log10((uni + 0.5) / (n + 0.5 * (v + 1)))
+    for state, arcs in counts.items():
+        total = sum(arcs.values())
+        left = lm.DISCOUNT * len(arcs) / total
+        p = [max(arcs.get(w, 0) - lm.DISCOUNT, 0) / total + left * 10 ** root[w] for w in range(4)]
+        assert math.isclose(sum(p), 1), state
+
+
+def test_quality_learns(spark):
+    d, y = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = quality.quality_scores(d, y).join(y, "doc_id").where("held_out").select("quality", "predicted", "score").toPandas()
+    assert len(got) > 50 and (got.quality == got.predicted).mean() > 0.93 and got.score.between(0, 1).all()
+
+
+def test_quality_of_odd_rows(docs, spark, empty):
+    y = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1), (1, 1)], "doc_id long, quality int")
+    got = rows_of(quality.quality_scores(docs, y))
+    assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
+    assert all(r["held_out"] == (r["doc_id"] is not None and crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    assert quality.quality_scores(empty, y.limit(0)).count() == 0
+    assert quality.quality_scores(docs, y.limit(0)).select("score").distinct().count() == 1
+
+
+def test_flat_trees_match_a_walk():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(2000, 4))
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] < 0)).astype(float)
+    model = trees.fit_trees(x, y, np.ones(len(y)), trees=20)
+    assert ((model.predict(x) > 0.5) == y).mean() > 0.95
+    for row in x[:50]:
+        total = model.base
+        for f, t, leaf in zip(model.feature, model.threshold, model.leaf):
+            node = 0
+            while node < len(f):
+                node = 2 * node + (2 if row[f[node]] > t[node] else 1)
+            total += leaf[node - len(f)]
+        assert math.isclose(total, model.margin(row[None])[0])
+
+
+def test_statistics_match_a_plain_count():
+    text = "The The cat.\nSAT on 12 mats!! | ok\nThe The cat."
+    got = dict(zip(quality.FEATURES, quality.statistics(pa.array([text, None, "", "a"]))[0]))
+    w = text.split()
+    assert math.isclose(got["log_words"], math.log1p(len(w))) and math.isclose(got["word_mean"], np.mean([len(x) for x in w]))
+    assert math.isclose(got["line_repeats"], 1 / 3) and math.isclose(got["pipes"], 1 / len(text)) and math.isclose(got["upper_words"], 1 / len(w))
+    assert math.isclose(got["word_repeats"], sum(a == b for a, b in zip(w, w[1:])) / (len(w) - 1))
+    assert (quality.statistics(pa.array([None, "", " \n"])) == 0).all()
+
+
+def test_toxicity_chain(spark):
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for i in range(600):
+        a = i % 3 == 0
+        b = a and i % 2 == 0
+        w = [f"w{x}" for x in rng.integers(0, 50, 30)] + ["Vile!!"] * a + ["Threat,"] * b
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(a), int(b)))
+    d = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string")
+    y = spark.createDataFrame(labels, "doc_id long, rude int, threat int")
+    got = {r["doc_id"]: r for r in rows_of(toxicity.toxicity(d, y, ("rude", "threat")))}
+    assert len(got) == 602 and all((got[i]["p_rude"] > 0.5) == bool(a) and got[i]["predicted"] == b for i, a, b in labels)
+    assert got[900]["score"] == got[901]["score"] < 0.5
+    assert toxicity.toxicity(d.limit(0), y, ("rude", "threat")).count() == 0
+    assert {r["score"] for r in rows_of(toxicity.toxicity(d, y.limit(0), ("rude", "threat")))} == {0.5}
+
+
+def test_toxicity_on_labels(spark):
+    d, y = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = toxicity.op5_toxicity(spark, "/root/testdata/sf0.01").join(y, "doc_id").toPandas()
+    assert d.count() >= len(got) and (got.toxic == got.predicted).mean() > 0.95
+
+
+def test_pieces_match_the_reference_library(docs):
+    import sentencepiece
+
+    path = pieces.default_model()
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    by = defaultdict(list)
+    for r in rows_of(pieces.encoded(docs)):
+        by[r["doc_id"]].append(r)
+    for r in rows_of(docs):
+        own = by[r["doc_id"]][0]
+        text = r["text"] or ""
+        assert own["ids"] == sp.encode(text) and own["exact"] and own["decoded"] == text
+
+
+def test_pieces_of_odd_texts():
+    path = pieces.default_model()
+    built = pieces.PieceTokenizer.load(path)
+    odd = [*pieces.PROBES, "▁", "▁▁a", " a ▁b  c ", "\x00\x01 �", "á é", "   ", "x" * 300, "  line", "<0xE2>"]
+    assert pieces.parity_failures(built, path, odd) == []
+    ids, offsets = built.encode(odd)
+    assert [x.replace("▁", " ") for x in odd] == built.decode(ids, offsets)
+
+
+def test_length_histogram_answers_every_limit(spark, docs):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    n = sorted(len(sp.encode(r["text"] or "")) for r in rows_of(docs))
+    table = lengths.limits(lengths.length_histogram(docs))
+    got = {r["limit"]: r for r in rows_of(table)}
+    assert sorted(got) == sorted(set(n))
+    for limit, r in got.items():
+        assert r["docs_over"] == sum(x > limit for x in n) and r["tokens_kept"] == sum(min(x, limit) for x in n) and r["tokens_total"] == sum(n)
+        assert r["tokens_within"] == sum(x for x in n if x <= limit) and math.isclose(r["quantile"], sum(x <= limit for x in n) / len(n))
+    for limit in (0, 1, 100, 777, 10**6):
+        assert lengths.kept_at(table, limit).first()[0] == sum(min(x, limit) for x in n)
+    assert lengths.quantile_length(table, 0.5).first()[0] == n[math.ceil(len(n) / 2) - 1]
+
+
+def test_chi_square():
+    assert abs(neighbours.chi_square_quantile(0.95, 8) - 15.507) < 0.01 and abs(float(neighbours.chi_square_cdf(7.344, 8)) - 0.5) < 1e-3
+
+
+def brute(rows, every, k):
+    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)]
+    out = {}
+    for q, v in good:
+        if q % every == 0:
+            scores = {(-float((v * w).sum() / (np.sqrt((v * v).sum()) * np.sqrt((w * w).sum()))), i) for i, w in good if i != q and len(w) == len(v)}
+            out[q] = [(i, -s) for s, i in sorted(scores)[:k]]
+    return out
+
+
+def test_neighbours_of_odd_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(60)]
+    rows += [(100 + i, rows[3][1]) for i in range(30)] + [(200, None), (201, [0.0] * 6), (202, [float("nan")] + [1.0] * 5), (203, [None] * 6), (None, [1.0] * 6), (10, rows[10][1]), (300, [1.0, 2.0]), (250, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, 10, 5)
+    got = defaultdict(list)
+    for r in sorted(rows_of(neighbours.nearest(df, 10, 5, confidence=1 - 1e-12)), key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items() if x}
+    assert all(math.isclose(a[1], b[1]) for q in got for a, b in zip(got[q], want[q]))
+    assert neighbours.nearest(df.limit(0)).count() == 0
+
+
+def test_neighbours_recall(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD", 100)
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    want = brute(rows, 5, 5)
+    got = defaultdict(set)
+    for r in rows_of(neighbours.nearest(df, 5, 5)):
+        got[r["query_id"]].add(r["vec_id"])
+    assert all(len(got[q]) == 5 for q in want)
+    assert np.mean([len({i for i, _ in want[q]} & got[q]) / 5 for q in want]) >= 0.9
+
+
+def test_quotes_link(spark):
+    rows = [
+        (1, 0, "user", "What is Spark?\n\nTell me more."), (1, 1, "assistant", "> What is\n> spark\n\nAn engine."), (1, 2, "user", ">> What is Spark?\n> An engine.\n\nAnd speed?"),
+        (1, 3, "assistant", "> not said anywhere\nFast."), (2, 0, "user", "> Tell me more!\n\nMe too."), (2, 1, "assistant", None), (None, 5, "user", "> Fast."), (3, 0, None, ""), (1, 3, "assistant", "> not said anywhere\nFast."),
+    ]
+    got = {(r["conv_id"], r["turn"]): r for r in rows_of(quotes.linked_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))}
+    assert quotes.linked_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).count() == len(rows)
+    parent = lambda *k: (got[k]["parent_conv_id"], got[k]["parent_turn"], got[k]["linked"])
+    assert parent(1, 0) == (None, None, False)
+    assert parent(1, 1) == (1, 0, True) and got[1, 1]["clean_text"] == "An engine."
+    assert parent(1, 2) == (1, 1, True) and got[1, 2]["n_linked"] == 2 and got[1, 2]["max_level"] == 2
+    assert parent(1, 3) == (1, 2, False) and got[1, 3]["n_quotes"] == 1 and got[1, 3]["n_linked"] == 0
+    assert parent(2, 0) == (1, 0, True) and parent(2, 1) == (2, 0, False) and got[2, 1]["clean_text"] == ""
+    assert parent(None, 5) == (None, None, False) and parent(3, 0) == (None, None, False)
+
+
+def test_empty_tables(empty, spark):
+    for run in (minhash.near_duplicates, exact.exact_dedup, mixing.mixed, lm.lm_scores, pieces.encoded_digests, exact.drop_exact_duplicates, minhash.drop_near_duplicates, lambda d: lengths.limits(lengths.length_histogram(d))):
+        assert run(empty).count() == 0
+    assert quotes.linked_messages(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_pipeline_stages(spark, docs):
+    import corpus_pipeline as p
+
+    assert [n for n, _ in p.STAGES] == ["quality", "exact_dedup", "near_dedup", "mixing", "sentencepiece"]
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    at = rows
+    for name, stage in p.STAGES[:-1]:
+        after = stage(spark, at, sf).cache()
+        assert after.columns == rows.columns and after.count() > 0
+        if name == "exact_dedup":
+            assert after.count() == len({lower(r["text"]) for r in at.collect()})
+        if name == "near_dedup":
+            want = groups(rows_of(at))
+            assert sorted(r["doc_id"] for r in after.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
+        at = after
+    assert p.STAGES[-1][1](spark, at, sf).count() == at.count()
