@@ -23,14 +23,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
 from .session import checkpointed, narrow
-from .words import hash_strings, mix64, shingle_hashes, split_words, text_slices
+from .words import mix64, shingle_hashes, split_words, text_slices
 
 LANES = 128
 BAND = 4
+BANDS = LANES // BAND
 WIDTH = 5
 #: Lanes that must agree before full sets are compared; at a similarity of 0.75 this is five standard deviations below the mean.
 LIKELY = 0.55
-OTHERS, MEMBERS = 256, 1024
+#: Rows of a block of bucket members.
+OTHERS, MEMBERS = 128, 512
 SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig binary"
 
 
@@ -117,39 +119,85 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], ["u", "v"])
 
 
-def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, ob, mb): compare the 'other' rows of a block with its members in other components."""
-
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
-        other = rows.column("other").to_numpy()
-        ids, comp = rows.column("id").to_numpy(), rows.column("comp").to_numpy()
-        size, lanes = rows.column("n").to_numpy(), _lanes(rows.column("sig").combine_chunks())
-        left, right = np.flatnonzero(other), np.flatnonzero(~other)
-        found_u, found_v = [], []
-        for i in left:
-            near = (lanes[right] == lanes[i]).sum(axis=1) >= LIKELY * LANES
-            near &= (comp[right] != comp[i]) & (100 * np.minimum(size[right], size[i]) >= 75 * np.maximum(size[right], size[i]))
-            hit = ids[right[near]]
-            found_u.append(np.maximum(hit, ids[i]))
-            found_v.append(np.minimum(hit, ids[i]))
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_u, found_v))
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys, of batches sorted by them."""
     pending: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = pa.Table.from_batches([batch])
         rows = pa.concat_tables([pending, rows]) if pending is not None else rows
-        keys = np.stack([rows.column(k).to_numpy() for k in ("bucket", "ob", "mb")])
-        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        at = np.stack([rows.column(k).to_numpy() for k in keys])
         start = 0
-        for cut in cuts.tolist():
-            yield pairs(rows.slice(start, cut - start))
+        for cut in (np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist():
+            yield rows.slice(start, cut - start)
             start = cut
         pending = rows.slice(start)
     if pending is not None:
-        yield pairs(pending)
+        yield pending
+
+
+def _likely_in_block(rows: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each 'other' row of a block: its position, the positions of all members, and which of those may link to it.
+
+    Those are of another component, agree on enough lanes, differ little enough in size, and share no earlier band, so
+    that a pair comes up in one bucket only.
+    """
+    other = rows.column("other").to_numpy()
+    comp, size = rows.column("comp").to_numpy(), rows.column("n").to_numpy()
+    band = int(rows.column("bucket")[0].as_py()) & (BANDS - 1)
+    lanes = _lanes(rows.column("sig").combine_chunks())
+    members = np.flatnonzero(~other)
+    for i in np.flatnonzero(other):
+        same = lanes[members] == lanes[i]
+        near = (same.sum(axis=1) >= LIKELY * LANES) & (comp[members] != comp[i])
+        near &= 100 * np.minimum(size[members], size[i]) >= 75 * np.maximum(size[members], size[i])
+        near[near] = same[near].reshape(-1, BANDS, BAND).all(axis=2).argmax(axis=1) == band
+        yield i, members, near
+
+
+def _flag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bucket's rows that may link to some row of another component."""
+    for rows in _groups(batches, ("bucket", "ob", "mb")):
+        hit = np.zeros(rows.num_rows, bool)
+        for i, members, near in _likely_in_block(rows):
+            hit[i] |= near.any()
+            hit[members[near]] = True
+        kept = rows.select(["bucket", "id"]).filter(pa.array(hit)).combine_chunks()
+        yield from kept.to_batches()
+
+
+def _link_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose 32-bit shingle sets overlap enough, allowing for codes that fell together."""
+    for rows in _groups(batches, ("bucket", "ob", "mb")):
+        ids, size = rows.column("id").to_numpy(), rows.column("n").to_numpy()
+        sets = [np.frombuffer(x, "<u4") for x in rows.column("codes").to_pylist()]
+        held = np.array([len(x) for x in sets])
+        other = rows.column("other").to_numpy()
+        flat = np.concatenate([sets[m] for m in np.flatnonzero(~other)]) if (~other).any() else np.zeros(0, np.uint32)
+        names, code = np.unique(flat, return_inverse=True)
+        starts = np.cumsum(held[~other]) - held[~other]
+        found: list[tuple[int, int]] = []
+        for i, members, near in _likely_in_block(rows):
+            if not near.any():
+                continue
+            mine = np.zeros(len(names), np.int64)
+            at = np.searchsorted(names, sets[i])
+            at = at[at < len(names)]
+            mine[at[np.isin(names[at], sets[i])]] = 1
+            both = np.add.reduceat(mine[code], starts) + (size[i] - held[i]) + (size[members] - held[members])
+            near &= 100 * both >= 75 * (size[members] + size[i] - both)
+            found += [(max(x, int(ids[i])), min(x, int(ids[i]))) for x in ids[members[near]].tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["u", "v"])
+
+
+def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingle sets of documents as ascending 32-bit codes."""
+    for batch in batches:
+        for part in text_slices(batch):
+            flat, offsets = shingle_hashes(split_words(part.column("text")), WIDTH)
+            codes = [np.unique((flat[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4")).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(codes, pa.binary())], ["id", "codes"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -168,6 +216,23 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return with_v.select("u", "v", "text_u", "text_v").mapInArrow(_confirm, "u long, v long")
 
 
+def _blocks(placed: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows (bucket, id, comp) of buckets with several components, dealt into blocks with the facts of each id.
+
+    A bucket's rows outside its main component are the 'other' rows; blocks of them meet blocks of all its rows, so the
+    rows grow with the product of a bucket's others and members over the size of a block. Rows come sorted by block.
+    """
+    shares = placed.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+    open_ = shares.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    open_ = open_.select("bucket", "main", F.ceil((F.col("size") - F.col("most")) / OTHERS).cast("int").alias("obs"), F.ceil(F.col("size") / MEMBERS).cast("int").alias("mbs"))
+    rows = placed.join(open_, "bucket").join(facts, "id")
+    at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    first = ["bucket", "id", "comp", *[c for c in facts.columns if c != "id"]]
+    left = rows.where("comp <> main").select(*first, F.lit(True).alias("other"), at("obs").alias("ob"), F.explode(F.sequence(F.lit(0), F.col("mbs") - 1)).alias("mb"))
+    right = rows.select(*first, F.lit(False).alias("other"), F.explode(F.sequence(F.lit(0), F.col("obs") - 1)).alias("ob"), at("mbs").alias("mb"))
+    return left.union(right).repartition("bucket", "ob", "mb").sortWithinPartitions("bucket", "ob", "mb")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest linked doc_id, itself included), kept.
 
@@ -181,7 +246,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     alive = signed.where("n_shingles > 0 and doc_id is not null")
     classes = checkpointed(alive.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig")))
     sigs = classes.select("id", F.col("n_shingles").alias("n"), "sig")
-    bands = F.transform(F.sequence(F.lit(0), F.lit(LANES // BAND - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (2 * BAND) + 1, F.lit(2 * BAND))))
+    # A bucket's low bits are its band.
+    shift = BANDS.bit_length() - 1
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.shiftleft(F.xxhash64(i, F.substring(F.col("sig"), i * (2 * BAND) + 1, F.lit(2 * BAND))), shift).bitwiseOR(i.cast("long")))
     rows = sigs.select("id", F.explode(bands).alias("bucket"))
     heads = rows.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
     members = checkpointed(rows.join(heads, "bucket"))
@@ -195,17 +262,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = connected_components(links)
     labels = checkpointed(labels)
 
-    # Buckets of two are settled by their star; in larger ones, members of different components are compared in blocks.
+    # Buckets of two are settled by their star; in larger ones, members of different components are compared in blocks:
+    # signatures first, then the sets of those that may link.
     placed = members.where("size > 2").join(labels, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
-    shares = placed.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
-    open_ = shares.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("size"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = open_.select("bucket", "main", F.ceil((F.col("size") - F.col("most")) / OTHERS).cast("int").alias("obs"), F.ceil(F.col("size") / MEMBERS).cast("int").alias("mbs"))
-    rows = placed.join(open_, "bucket").join(sigs, "id")
-    at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    left = rows.where("comp <> main").select("bucket", "id", "comp", "n", "sig", F.lit(True).alias("other"), at("obs").alias("ob"), F.explode(F.sequence(F.lit(0), F.col("mbs") - 1)).alias("mb"))
-    right = rows.select("bucket", "id", "comp", "n", "sig", F.lit(False).alias("other"), F.explode(F.sequence(F.lit(0), F.col("obs") - 1)).alias("ob"), at("mbs").alias("mb"))
-    blocks = left.union(right).repartition("bucket", "ob", "mb").sortWithinPartitions("bucket", "ob", "mb")
-    rest = blocks.mapInArrow(_compare_blocks, "u long, v long").distinct()
+    flagged = checkpointed(_blocks(placed, sigs).mapInArrow(_flag_rows, "bucket long, id long").distinct())
+    doubtful = flagged.select(F.col("id").alias("doc_id")).distinct()
+    sets = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(narrow(doubtful, flagged.count()), "doc_id", "left_semi").mapInArrow(_code, "id long, codes binary")
+    rest = _blocks(placed.join(flagged, ["bucket", "id"], "left_semi"), sigs.join(sets.dropDuplicates(["id"]), "id")).mapInArrow(_link_rows, "u long, v long").distinct()
     more = checkpointed(_confirmed(rest, docs))
     if not more.isEmpty():
         labels = connected_components(links.union(more))
