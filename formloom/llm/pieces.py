@@ -27,6 +27,8 @@ from .session import table
 from .words import text_slices
 
 MARK = "▁"
+#: Cuts that are encoded as one run; cuts that a worker remembers; text that it handles at once; threads of a worker.
+JOINED, CACHED, SLICE, THREADS = 500, 200_000, 1 << 20, 2
 #: Fixed values of the model format: model types, and piece types.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -133,7 +135,16 @@ class PieceTokenizer:
             self.backend.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
         self.backend.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " ")])
         self.charsmap = normalizers.Precompiled(model.charsmap) if model.charsmap else None
-        self.cache: dict[str, np.ndarray] = {}
+        self._reset()
+        surface = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else p.replace(MARK, " ").encode() for p, t in zip(model.pieces, model.types, strict=True)]
+        self.out_size = np.array([len(x) for x in surface], np.int64)
+        self.out_start = np.cumsum(self.out_size) - self.out_size
+        self.out_flat = np.frombuffer(b"".join(surface), np.uint8)
+
+    def _reset(self) -> None:
+        """Forget the cuts encoded so far: their places by text, and the ids of all, one after the other."""
+        self.place: dict[str, int] = {}
+        self.sizes, self.starts, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     @classmethod
     def load(cls, path: str) -> PieceTokenizer:
@@ -152,21 +163,46 @@ class PieceTokenizer:
             out.append(text.replace(" ", MARK))
         return out
 
-    def _units(self, units: list[str]) -> list[np.ndarray]:
-        cache = self.cache
-        new = [u for u in units if u not in cache]
-        for unit, found in zip(new, self.backend.encode_batch(new, add_special_tokens=False), strict=True):
-            cache[unit] = np.array(found.ids, np.int32)
-        return [cache[u] for u in units]
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and their offsets."""
+    def _encode_cuts(self, cuts: list[str]) -> list[np.ndarray]:
+        """Ids of cuts. Runs of them are joined, as the pre-tokenizer parts them again; a call encodes all runs on many threads."""
+        runs, alone = [], []
+        run: list[str] = []
+        for cut in cuts:
+            if cut.startswith(MARK) and not cut.endswith(MARK):
+                run.append(cut)
+                if len(run) == JOINED:
+                    runs.append(run)
+                    run = []
+            else:
+                alone.append(cut)
+        runs += [run] if run else []
+        found: dict[str, np.ndarray] = {}
+        for own, got in zip(runs, self.backend.encode_batch(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+            bounds = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(own) + 1)).tolist()
+            ids = np.array(got.ids, np.int32)
+            found.update((cut, ids[x:y]) for cut, x, y in zip(own, bounds[:-1], bounds[1:], strict=True))
+        found.update((cut, np.array(got.ids, np.int32)) for cut, got in zip(alone, self.backend.encode_batch(alone, add_special_tokens=False), strict=True))
+        return [found[c] for c in cuts]
+
+    def _places(self, cuts: list[str]) -> np.ndarray:
+        """Where the ids of cuts are kept; new ones are encoded once."""
+        place = self.place
+        new = [c for c in cuts if c not in place]
+        if new:
+            rows = self._encode_cuts(new)
+            sizes = np.array([len(r) for r in rows], np.int64)
+            place.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, *rows])
+        return np.fromiter((place[c] for c in cuts), np.int64, len(cuts))
+
+    def _cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The places of all cuts of all texts, and the texts' bounds among them."""
+        if len(self.place) > CACHED:
+            self._reset()
         ready = self.normalise(texts)
         if not self.cuts:
-            rows = [np.array(x.ids, np.int32) for x in self.backend.encode_batch(ready, add_special_tokens=False)]
-            return (np.concatenate(rows) if rows else np.zeros(0, np.int32)), np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-        if len(self.cache) > 200_000:
-            self.cache.clear()
+            return self._places(ready), np.arange(len(ready) + 1)
         parts = pc.split_pattern(pa.array(ready, pa.string()), MARK)
         offsets = np.asarray(parts.offsets, dtype=np.int64)
         flat = parts.values
@@ -174,18 +210,18 @@ class PieceTokenizer:
         first = np.zeros(len(flat), bool)
         first[offsets[:-1]] = True
         empty = np.asarray(pc.equal(pc.binary_length(flat), 0))
-        last = np.zeros(len(flat), bool)
-        last[offsets[1:] - 1] = True
         if (empty & ~first).any():
-            return self._runs(parts, offsets, empty)
+            return self._cut_runs(parts)
         coded = flat.dictionary_encode()
-        code = np.asarray(coded.indices, dtype=np.int64) * 2 + ~first
-        names, code = np.unique(code[~(first & empty)], return_inverse=True)
+        full = ~(first & empty)
+        code = (np.asarray(coded.indices, dtype=np.int64) * 2 + ~first)[full]
+        names, code = np.unique(code, return_inverse=True)
         words = coded.dictionary.take(pa.array(names // 2)).to_pylist()
-        return self._gather([MARK + w if n % 2 else w for w, n in zip(words, names.tolist(), strict=True)], code, np.concatenate([[0], np.cumsum(~(first & empty))])[offsets])
+        places = self._places([MARK + w if n % 2 else w for w, n in zip(words, names.tolist(), strict=True)])
+        return places[code] if len(code) else code, np.concatenate([[0], np.cumsum(full)])[offsets]
 
-    def _runs(self, parts: pa.Array, offsets: np.ndarray, empty: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same for texts with runs of markers."""
+    def _cut_runs(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same where some text has runs of markers, or ends in one."""
         index: dict[str, int] = {}
         code, bounds = [], [0]
         for row in parts.to_pylist():
@@ -197,34 +233,44 @@ class PieceTokenizer:
                         code.append(index.setdefault(unit, len(index)))
                     run = 0
             bounds.append(len(code))
-        return self._gather(list(index), np.array(code, np.int64), np.array(bounds, np.int64))
-
-    def _gather(self, units: list[str], code: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = self._units(units)
-        sizes = np.array([len(x) for x in found], np.int64)
-        flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-        starts = np.cumsum(sizes) - sizes
-        length = sizes[code]
-        ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(starts[code] - (ends - length), length) + np.arange(total)] if total else np.zeros(0, np.int32)
-        return ids, np.concatenate([[0], ends])[bounds]
+        places = self._places(list(index))
+        return (places[np.array(code, np.int64)] if code else np.zeros(0, np.int64)), np.array(bounds, np.int64)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and their offsets."""
+        places, bounds = self._cut(texts)
+        return _gather(self.flat, self.starts[places], self.sizes[places], bounds)
+
+    def lengths(self, texts: list[str]) -> np.ndarray:
+        places, bounds = self._cut(texts)
+        return np.diff(np.concatenate([[0], np.cumsum(self.sizes[places])])[bounds])
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """Texts of id sequences; the space of the prefix is left out, bytes that form no UTF-8 become U+FFFD."""
-        rows = [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        cut = int(self.model.dummy_prefix)
-        out = self.backend.decode_batch(rows, skip_special_tokens=False)
-        return [x[cut:] if cut and x.startswith(" ") else x for x in out]
+        data, at = _gather(self.out_flat, self.out_start[ids], self.out_size[ids], offsets)
+        raw, cut, out = data.tobytes(), int(self.model.dummy_prefix), []
+        for d, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            try:
+                text = raw[a:b].decode()
+            except UnicodeDecodeError:
+                text = self.backend.decode(ids[offsets[d] : offsets[d + 1]].tolist(), skip_special_tokens=False)
+            out.append(text[cut:] if cut and text.startswith(" ") else text)
+        return out
 
-    def lengths(self, texts: list[str]) -> np.ndarray:
-        return np.diff(self.encode(texts)[1])
+
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """flat[starts:starts+sizes] of all rows, one after the other, and where the groups of rows ``bounds`` begin and end."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    taken = flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)] if total else flat[:0]
+    return taken, np.concatenate([[0], ends])[bounds].astype(np.int64)
 
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str, parity: bool = True) -> PieceTokenizer:
     """The worker's tokenizer of a model file, checked against the reference library on probe texts when it is built."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
     built = PieceTokenizer.load(path)
     if parity and (bad := parity_failures(built, path, PROBES)):
         raise ValueError(f"the rebuilt tokenizer differs from the model on {bad[:3]!r}")
@@ -254,7 +300,7 @@ def encoded(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         built = tokenizer(path)
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, most=SLICE):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 ids, offsets = built.encode(texts)
                 back = built.decode(ids, offsets)
