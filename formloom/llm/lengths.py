@@ -12,8 +12,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .pieces import default_model, tokenizer
-from .session import table
+from .pieces import SLICE, default_model, tokenizer
+from .session import checkpointed, table
 from .words import text_slices
 
 #: Lengths of a block of the histogram: sums run within blocks and over the blocks' sums, so no task gets all lengths.
@@ -27,7 +27,7 @@ def length_histogram(docs: DataFrame, model_file: str | None = None) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         built = tokenizer(path)
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, most=SLICE):
                 yield pa.RecordBatch.from_arrays([pa.array(built.lengths([t or "" for t in part.column("text").to_pylist()]))], ["length"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "length long").groupBy("length").agg(F.count("*").alias("docs"))
@@ -69,4 +69,4 @@ def kept_at(limit_rows: DataFrame, limit: int) -> DataFrame:
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
-    return limits(length_histogram(table(spark, sf_dir, "documents")))
+    return limits(checkpointed(length_histogram(table(spark, sf_dir, "documents"))))
