@@ -1,0 +1 @@
+"""Evidence-grounded document analytics on Spark DataFrames."""
