@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 #: White space as Unicode has it; Java's plain \s is ASCII only.
 SPACE = r"(?U)\s+"
@@ -26,7 +26,7 @@ def word_tokens(v: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(casefold(v), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity; not symmetric, as its inputs have roles."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
