@@ -97,10 +97,10 @@ def control_gates(width: Column, height: Column, circularity: Column, short_side
 def control_state(ink: Column, shape_confidence: Column) -> Column:
     """struct<state, state_confidence> of the inner ink ratio: empty below .035, ticked from .070."""
     empty = F.least(F.lit(1.0), (0.035 - ink) / 0.035)
-    ticked = F.least(F.lit(1.0), (ink - 0.070) / 0.18)
-    unsure = F.abs(ink - 0.0525) / 0.0175
+    ticked = F.least(F.lit(1.0), (ink - 0.070) / 0.13)
+    sure = F.least(F.lit(1.0), F.abs(ink - 0.0525) / 0.035)
     state = F.when(ink <= 0.035, F.lit("unchecked")).when(ink >= 0.070, F.lit("checked")).otherwise(F.lit("ambiguous"))
-    value = F.when(ink <= 0.035, 0.55 + 0.45 * empty).when(ink >= 0.070, 0.60 + 0.40 * ticked).otherwise(0.50 + 0.20 * unsure)
+    value = F.when(ink <= 0.035, 0.55 + 0.45 * empty).when(ink >= 0.070, 0.60 + 0.40 * ticked).otherwise(0.50 + 0.20 * sure)
     return F.struct(state.alias("state"), (value * shape_confidence).alias("state_confidence"))
 
 

@@ -159,16 +159,18 @@ def associate_controls(controls: DataFrame, spans: DataFrame) -> DataFrame:
     return joined.select(*controls.columns, "label_id")
 
 
-def associate_two_sided(controls: DataFrame, spans: DataFrame) -> DataFrame:
-    """The variant that also takes labels to the left, at a penalty of one control's width."""
+def associate_two_sided(controls: DataFrame, spans: DataFrame, most_widths: float = 14.0) -> DataFrame:
+    """The variant that also takes labels to the left, at a penalty of two of the control's widths; blank spans don't count."""
     c = controls.select(*KEY, "id", *[F.col(x).alias(f"c_{x}") for x in ("x1", "y1", "x2", "y2")])
-    s = spans.select(*KEY, F.col("seq").alias("s_seq"), F.col("id").alias("s_id"), *[F.col(x).alias(f"s_{x}") for x in ("x1", "y1", "x2", "y2")])
+    s = spans.where("trim(text) <> ''").select(*KEY, F.col("seq").alias("s_seq"), F.col("id").alias("s_id"), *[F.col(x).alias(f"s_{x}") for x in ("x1", "y1", "x2", "y2")])
     a, b = Box("c_"), Box("s_")
     dy = F.abs(a.cy - b.cy)
     right, left = b.x1 - a.x2, a.x1 - b.x2
-    side = F.when(right >= -0.25 * a.width, F.greatest(F.lit(0), right)).when(left >= 0, left + a.width)
-    near = c.join(s, list(KEY)).where((dy <= F.greatest(a.height, b.height)) & side.isNotNull() & (side <= 16.0 * a.width))
-    best = near.groupBy(*KEY, "id").agg(F.min_by("s_id", F.struct((side + 2.0 * dy).alias("cost"), "s_seq")).alias("label_id"))
+    beside = right >= -0.25 * a.width
+    reach = F.when(beside, F.greatest(F.lit(0), right)).when(left >= 0, left)
+    near = c.join(s, list(KEY)).where((dy <= 0.85 * F.greatest(a.height, b.height)) & (reach <= most_widths * a.width))
+    cost = reach + 2.0 * dy + F.when(beside, F.lit(0.0)).otherwise(2.0 * a.width)
+    best = near.groupBy(*KEY, "id").agg(F.min_by("s_id", F.struct(cost.alias("cost"), "s_seq")).alias("label_id"))
     return controls.join(best, [*KEY, "id"], "left").select(*controls.columns, "label_id")
 
 

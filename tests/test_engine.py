@@ -195,3 +195,57 @@ def test_cli_schema(spark, tmp_path, capsys):
     (tmp_path / "bp.yaml").write_text(yaml.safe_dump(SPEC))
     assert cli.main(["schema", "--blueprint", str(tmp_path / "bp.yaml")]) == 0
     assert "serialNumber" in json.loads(capsys.readouterr().out)["properties"]["data"]["properties"]
+
+
+def form_page(boxes):
+    import numpy as np
+
+    page = np.full((600, 800, 3), 255, np.uint8)
+    for x, y, ticked in boxes:
+        page[y : y + 35, x : x + 35] = 0
+        page[y + 3 : y + 32, x + 3 : x + 32] = 255
+        if ticked:
+            for k in range(26):
+                page[y + 4 + k, x + 3 + k : x + 7 + k] = 0
+                page[y + 4 + k, x + 28 - k : x + 32 - k] = 0
+    return page
+
+
+def test_boxes_are_found_with_their_states(spark):
+    from formloom.functions.controls import detect_controls
+
+    page = form_page([(100, 100, True), (100, 200, False)])
+    images = spark.createDataFrame([("j", 800, 600, 3, bytearray(page.tobytes())), ("blank", 800, 600, 3, bytearray(form_page([]).tobytes()))], "job_id string, width int, height int, channels int, data binary")
+    got = detect_controls(images).orderBy("seq").collect()
+    assert [(r["job_id"], r["id"], r["state"], r["kind"]) for r in got] == [("j", "control:p1:0000", "checked", "checkbox"), ("j", "control:p1:0001", "unchecked", "checkbox")]
+    assert abs(got[0]["x1"] - 100) <= 2 and abs(got[0]["y2"] - 135) <= 2
+
+
+def test_understanding(spark):
+    from formloom.operators.understanding import decode_understanding, understood
+
+    good = {"schemaMatch": "mismatch", "handwritingPresent": True, "handwritingLegibility": "poor", "qualityIssues": [{"kind": "blur", "severity": "mild", "affects": ["document"]}], "recommendedProfiles": ["local_contrast", "none"]}
+    rows = [("a", "Here: " + json.dumps(good)), ("b", json.dumps({"handwritingPresent": True})), ("c", "no json"), ("d", json.dumps({"languages": ["x"] * 6})), ("e", json.dumps({"handwritingPresent": False, "handwritingLegibility": "good"})), ("f", json.dumps({"schemaMatch": "maybe"}))]
+    got = {r["job_id"]: r for r in understood(decode_understanding(spark.createDataFrame(rows, "job_id string, reply string"))).collect()}
+    assert got["a"]["mismatch"] and got["a"]["handwriting"] == "poor" and got["a"]["severities"] == ["mild"] and got["a"]["actions"] == ["clahe"]
+    assert [got[k]["error"] for k in "abcdef"] == [None, "handwriting_inconsistent", "unreadable", "list_too_long", None, "unknown_name"] and got["e"]["handwriting"] == "not_present"
+
+
+def test_runs_resume(spark, tmp_path):
+    from formloom.plans.runs import Run
+
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        run = Run(spark, str(tmp_path / "run"), "r1")
+        assert run.stage("map", build).count() == 3
+        with pytest.raises(ValueError), run.step("score", inputs={"a": 1}):
+            raise ValueError("bad")
+        run.write_trace()
+    assert len(built) == 1
+    got = spark.read.parquet(str(tmp_path / "run" / "trace")).collect()
+    assert sorted((r["node"], r["status"]) for r in got) == [("map", "ok"), ("score", "failed")]
