@@ -75,7 +75,7 @@ def neighbours(labels: DataFrame, spans: DataFrame, keys: tuple[str, ...] = ())
         F.when(beside, F.struct(F.lit("right_of_label").alias("strategy"), (1.0 / (1.0 + distance / 8.0)).alias("geometry"))),
         F.when(under, F.struct(F.lit("below_label").alias("strategy"), (0.86 / (1.0 + drop / F.greatest(5.0 * a.height, F.lit(1)))).alias("geometry"))),
     ))
-    return pairs.select("*", F.inline(found))
+    return pairs.where(beside | under).select("*", F.inline(found))
 
 
 def top_neighbours(pairs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -90,8 +90,8 @@ def label_like(scores: DataFrame) -> DataFrame:
     return scores.where(F.col("plain") >= LABEL_LIKE).select("canon").distinct()
 
 
-def text_candidates(spans: DataFrame, paths: DataFrame, aliases: DataFrame, date_order: str = "REJECT_AMBIGUOUS", weight_unit: str = "kg", attempt: int = 0, ratio: bool = True, only_paths: DataFrame | None = None) -> DataFrame:
-    """Field candidates of labels on the same line, to the right and below; deduplicated as dedupe_candidates() does."""
+def text_rows(spans: DataFrame, paths: DataFrame, aliases: DataFrame, date_order: str = "REJECT_AMBIGUOUS", weight_unit: str = "kg", attempt: int = 0, ratio: bool = True, only_paths: DataFrame | None = None) -> DataFrame:
+    """Field candidates of labels on the same line, to the right and below, with their ``place``; may repeat."""
     fields = paths.where("not checkbox")
     if only_paths is not None:
         fields = fields.join(F.broadcast(only_paths.select("path").distinct()), "path", "left_semi")
@@ -116,11 +116,20 @@ def text_candidates(spans: DataFrame, paths: DataFrame, aliases: DataFrame, date
         F.array_distinct(F.array("l_source", "v_source")).alias("support_sources"), F.least("l_confidence", "v_confidence").alias("recognition"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("match") * F.col("geometry"))).alias("association"),
     )
     both = line.unionByName(near).withColumn("n", normalize_value(F.col("raw"), F.col("type"), date_order, weight_unit))
-    both = both.select(
+    return both.select(
         *KEY, "path", "path_ord", "raw", F.col("n.value").alias("value"), json_literal(F.col("n.value"), F.col("type")).alias("norm_json"), "evidence_ids", "source", "support_sources", "recognition", "association",
-        F.lit(attempt).alias("attempt"), F.col("n.codes").alias("codes"), F.struct("path_ord", F.when(F.col("kind") == "group", 1).otherwise(0).alias("k"), "l_seq", "rank").alias("place"),
+        F.lit(attempt).alias("attempt"), F.col("n.codes").alias("codes"), F.struct(F.lit(0).alias("part"), "path_ord", F.when(F.col("kind") == "group", 1).otherwise(0).alias("k"), "l_seq", "rank").alias("place"),
     )
-    return numbered(dedupe_candidates(both, ("source", "norm_json", "evidence_ids")))
+
+
+def text_candidates(*tables: DataFrame, **options) -> DataFrame:
+    """text_rows(), deduplicated and numbered."""
+    return settled(text_rows(*tables, **options))
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """Candidates with ``place``, deduplicated and numbered by job: dealt by job once, which serves both."""
+    return numbered(dedupe_candidates(rows.repartition("job_id"), ("source", "norm_json", "evidence_ids")))
 
 
 def dedupe_candidates(candidates: DataFrame, key: tuple[str, ...]) -> DataFrame:
@@ -174,7 +183,7 @@ def associate_two_sided(controls: DataFrame, spans: DataFrame, most_widths: floa
     return controls.join(best, [*KEY, "id"], "left").select(*controls.columns, "label_id")
 
 
-def control_candidates(associated: DataFrame, spans: DataFrame, paths: DataFrame, aliases: DataFrame, attempt: int = 0, ratio: bool = True) -> DataFrame:
+def control_rows(associated: DataFrame, spans: DataFrame, paths: DataFrame, aliases: DataFrame, attempt: int = 0, ratio: bool = True) -> DataFrame:
     """Boolean candidates of controls, for every option that their label resembles; an ambiguous state has no value."""
     options = aliases.where("kind = 'option'")
     labels = with_canon(spans).select(*KEY, F.col("id").alias("label_id"), "canon", F.col("confidence").alias("label_confidence"), F.col("source").alias("label_source"))
@@ -186,20 +195,37 @@ def control_candidates(associated: DataFrame, spans: DataFrame, paths: DataFrame
     rows = rows.select(
         *KEY, "path", "path_ord", value.alias("raw"), value.alias("value"), F.coalesce(value, F.lit("null")).alias("norm_json"), F.array("id", "label_id").alias("evidence_ids"), F.lit(DETECTOR).alias("source"), F.array(F.lit(DETECTOR_SOURCE)).alias("support_sources"),
         F.col("state_confidence").alias("recognition"), F.col("score").alias("association"), F.lit(attempt).alias("attempt"), codes.alias("codes"),
-        F.struct("path_ord", F.lit(0).alias("k"), F.col("seq").alias("l_seq"), F.lit(0).alias("rank")).alias("place"),
+        F.struct(F.lit(1).alias("part"), "path_ord", F.lit(0).alias("k"), F.col("seq").alias("l_seq"), F.lit(0).alias("rank")).alias("place"),
     )
-    return numbered(rows)
+    return rows
+
+
+def control_candidates(*tables: DataFrame, **options) -> DataFrame:
+    """control_rows(), numbered."""
+    return numbered(control_rows(*tables, **options))
+
+
+def request_controls(associated: DataFrame, spans: DataFrame, aliases: DataFrame, targets: DataFrame, most: int = 32, ratio: bool = True) -> DataFrame:
+    """The controls worth showing with a request for ``targets`` (job_id, path): those whose label resembles a wanted option.
+
+    Ranked by match and certainty of state, then in reading order; columns of ``associated`` with ``rank``.
+    """
+    labels = with_canon(spans).select(*KEY, F.col("id").alias("label_id"), "canon")
+    scores = alias_scores(labels.select("canon"), aliases.where("kind = 'option'"), OPTION_MATCH, ratio)
+    wanted = labels.join(scores, "canon").join(targets.select("job_id", "path").distinct(), ["job_id", "path"], "left_semi").groupBy(*KEY, "label_id").agg(F.max("score").alias("match"))
+    rows = associated.join(wanted, [*KEY, "label_id"]).withColumn("worth", 0.75 * F.col("match") + 0.25 * F.col("state_confidence"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("worth"), "y1", "x1")))
+    return ranked.where(F.col("rank") <= most).select(*associated.columns, "rank")
 
 
 def rule_candidates(spans: DataFrame, controls: DataFrame, paths: DataFrame, aliases: DataFrame, **options) -> DataFrame:
     """Text candidates of all fields, then those of controls, numbered through."""
     ratio, attempt = options.get("ratio", True), options.get("attempt", 0)
-    text = text_candidates(spans, paths, aliases, **options)
-    boxes = control_candidates(associate_controls(controls, spans), spans, paths, aliases, attempt, ratio)
+    text = text_rows(spans, paths, aliases, **options)
+    boxes = control_rows(associate_controls(controls, spans), spans, paths, aliases, attempt, ratio)
     if options.get("only_paths") is not None:
         boxes = boxes.join(F.broadcast(options["only_paths"].select("path").distinct()), "path", "left_semi")
-    both = text.withColumn("part_", F.lit(0)).unionByName(boxes.withColumn("part_", F.lit(1)))
-    return staged(numbered(both.withColumn("place", F.struct("part_", "seq")).drop("seq", "part_")))
+    return staged(settled(text.unionByName(boxes)))
 
 
 def best_by_path(candidates: DataFrame) -> DataFrame:

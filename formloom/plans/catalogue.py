@@ -161,6 +161,15 @@ def control_candidates(spark, sf_dir):
     return found.select("job_id", "path", "raw", "value", F.array_join("evidence_ids", ",").alias("evidence"), F.round("association", 6).alias("association"), "recognition")
 
 
+@query("SELECT a.job_id, a.id, row_number() OVER (PARTITION BY a.job_id ORDER BY a.y1, a.x1) AS rank FROM assoc a")
+def request_controls(spark, sf_dir):
+    """Controls to show when both sexes are asked for: labels match alike, so in reading order."""
+    spans, _, controls = forms(spark, sf_dir)
+    asked = spans.select("job_id").distinct().withColumn("path", F.explode(F.array(F.lit("data.baby.male"), F.lit("data.baby.female"))))
+    found = mapping.request_controls(mapping.associate_controls(controls, spans), spans, _paths(spark)[1], asked)
+    return found.select("job_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
 @query("SELECT job_id, path, raw, value, array_to_string(ev, ',') AS evidence, source, array_to_string(sources, ',') AS support, round(recognition, 6) AS recognition, round(association, 6) AS association FROM cand")
 def field_candidates(spark, sf_dir):
     c = _candidates(spark, sf_dir)

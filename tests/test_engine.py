@@ -249,3 +249,35 @@ def test_runs_resume(spark, tmp_path):
     assert len(built) == 1
     got = spark.read.parquet(str(tmp_path / "run" / "trace")).collect()
     assert sorted((r["node"], r["status"]) for r in got) == [("map", "ok"), ("score", "failed")]
+
+
+def test_overlay_leaves_the_page_alone(spark):
+    from formloom.functions.overlay import draw, png, render_overlays
+
+    page = form_page([(100, 100, True)])
+    before = page.copy()
+    drawn = draw(page, [(10, 10, 60, 60, "text")])
+    assert (page == before).all() and (drawn != page).any() and (draw(page, []) != page).any() and png(drawn).startswith(b"\x89PNG")
+    images = spark.createDataFrame([("j", 800, 600, 3, bytearray(page.tobytes()))], "job_id string, width int, height int, channels int, data binary")
+    row = render_overlays(images, blocks(spark, [("text", "", (10, 10, 60, 60)), ("text", "", (70, 10, 90, 60))])).first()
+    assert row["blocks"] == 2 and row["label_counts"] == {"text": 2} and len(row["sha256"]) == 64
+
+
+def test_http_service(spark):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from formloom.api import make_server
+
+    server = make_server(FormEngine(spark, BP), port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_address[1]}/v1/extractions"
+    body = {"ocrSpans": [{"text": "Serial number: SN-1", "confidence": 0.99, "bbox": BOX(0, 0, 90, 20), "page": 1, "source": "a"}]}
+    got = json.loads(urllib.request.urlopen(urllib.request.Request(url, json.dumps(body).encode(), {"X-Job-Id": "job-1"})).read())
+    assert set(got) == {"data", "meta"} and got["meta"]["fields"]["data.serialNumber"]["disposition"] == "review"
+    for request, status in ((urllib.request.Request(url, b"[]"), 422), (urllib.request.Request(url + "x", b"{}"), 404), (urllib.request.Request(url, b"{}", {"X-Job-Id": "../x"}), 400)):
+        with pytest.raises(urllib.error.HTTPError) as e:
+            urllib.request.urlopen(request)
+        assert e.value.code == status
+    server.shutdown()
