@@ -17,11 +17,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .labelled import training_ids
-from .session import narrow, table
+from .session import bounded_batches, narrow, table
 from .words import hash_strings, split_words, text_slices
 
 #: Labelled rows of each class of the last category that the chain is fitted on, at most; terms of a model; folds.
-PER_CLASS, TERMS, FOLDS = 8_000, 400, 5
+PER_CLASS, TERMS, FOLDS = 8_000, 600, 3
 EDGE = r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$"
 
 
@@ -53,7 +53,7 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(x @ self.weight + self.bias, -40, 40)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0, steps: int = 12) -> Linear:
+def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 0.1, steps: int = 12) -> Linear:
     """Logistic regression with an L2 penalty, by Newton steps; of one class, the base rate."""
     z = np.hstack([x, np.ones((len(x), 1))])
     beta = np.zeros(z.shape[1])
@@ -145,6 +145,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = (
     than doc_id and text are ignored, as are labels that are null. Without labelled rows all probabilities are 0.5.
     An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     chain = train_chain(docs, labels, categories, per_class)
     names = [f"p_{c}" for c in categories]
 
