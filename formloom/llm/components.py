@@ -49,6 +49,10 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[start : start + 100_000]), pa.array(roots[start : start + 100_000])], ["u", "v"])
 
 
+#: Links up to which one task finishes the union-find: 320 kB. Beyond it, rounds of stars do.
+ONE_TASK = 20_000
+
+
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of ``links`` (two long columns): one row ``node, component`` per linked node.
 
@@ -60,6 +64,13 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
     edges = edges.mapInArrow(_contract, "u long, v long").where("u <> v").distinct()
     edges = checkpointed(edges)
+
+    def labelled(stars: DataFrame) -> DataFrame:
+        """Stars (node, root) with a row for each root too."""
+        return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select("v", "v").distinct())
+
+    if edges.count() <= ONE_TASK:
+        return labelled(edges.coalesce(1).mapInArrow(_contract, "u long, v long").where("u <> v"))
     before = None
     for _ in range(max_rounds):
         both = edges.union(edges.select("v", "u"))
@@ -71,8 +82,6 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges = checkpointed(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small).distinct())
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
-            return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
+            return labelled(edges.groupBy("u").agg(F.min("v").alias("v")))
         before = state
     raise RuntimeError(f"components not settled after {max_rounds} rounds")

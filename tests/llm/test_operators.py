@@ -90,7 +90,9 @@ def test_near_duplicates_across_a_crowded_bucket(spark):
     assert got == want
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("one_task", [20_000, 0])
+def test_components_of_chains_and_stars(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     links = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1400)] + [(7, 7), (None, 3), (2000, 2001), (2001, 2000)]
     sets = components.UnionFind()
     for a, b in links:
