@@ -90,7 +90,7 @@ def exact_groups(rows: DataFrame, key: str, fingerprint: str, total: int) -> Dat
             yield chunk()
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pack(batches):
             for row in range(batch.num_rows):
                 distinct, cuts = _split(np.frombuffer(batch.column("prints")[row].as_py(), "<i8"), owners, width)
                 out = []
@@ -121,8 +121,9 @@ def exact_groups(rows: DataFrame, key: str, fingerprint: str, total: int) -> Dat
             flagged[a:b] |= np.unpackbits(np.frombuffer(bitmap, np.uint8))[: b - a].astype(bool)
         return pa.table({"key": pa.array(keys[flagged[place]], pa.int64())})
 
-    packed = rows.select("part", F.col(key).alias("key"), F.col(fingerprint).alias("print")).mapInArrow(pack, "chunk string, keys binary, prints binary")
-    sent = packed.mapInArrow(send, "owner int, chunk string, n int, k int, code binary")
+    prints = rows.select("part", F.col(key).alias("key"), F.col(fingerprint).alias("print"))
+    packed = prints.mapInArrow(pack, "chunk string, keys binary, prints binary")
+    sent = prints.mapInArrow(send, "owner int, chunk string, n int, k int, code binary")
     maps = sent.groupBy("owner").applyInArrow(answer, "chunk string, owner int, bitmap binary")
     return packed.groupBy("chunk").cogroup(maps.groupBy("chunk")).applyInArrow(suspects, "key long")
 

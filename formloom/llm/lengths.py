@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .pieces import SLICE, default_model, tokenizer
-from .session import checkpointed, table
+from .session import bounded_batches, checkpointed, table
 from .words import text_slices
 
 #: Lengths of a block of the histogram: sums run within blocks and over the blocks' sums, so no task gets all lengths.
@@ -23,6 +23,7 @@ BLOCK = 1024
 def length_histogram(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     """length, docs: how many texts encode to so many tokens. Null and empty texts have length 0."""
     path = model_file or default_model()
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         built = tokenizer(path)

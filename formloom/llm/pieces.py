@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from .session import table
+from .session import bounded_batches, table
 from .words import text_slices
 
 MARK = "▁"
@@ -289,6 +289,24 @@ def parity_failures(built: PieceTokenizer, path: str, texts) -> list[str]:
     return [t for t, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True) if reference.encode(t) != ids[a:b].tolist()]
 
 
+def _encoded_slices(path: str, batches: Iterator[pa.RecordBatch]):
+    """For each slice: doc_ids, ids and offsets, decoded texts, and whether these are the normalised ones."""
+    built = tokenizer(path)
+    for batch in batches:
+        for part in text_slices(batch, most=SLICE):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            ids, offsets = built.encode(texts)
+            back = built.decode(ids, offsets)
+            plain = not built.charsmap and not built.model.trim_spaces
+            same = [b == t for b, t in zip(back, texts, strict=True)] if plain else [a == b for a, b in zip(built.normalise(back), built.normalise(texts), strict=True)]
+            yield part.column("doc_id"), ids, offsets, back, same
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    bounded_batches(docs.sparkSession)
+    return docs.select(docs.doc_id.cast("long").alias("doc_id"), docs.text.cast("string").alias("text"))
+
+
 def encoded(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     """One row per input row: doc_id, ids (array of int), decoded (text), exact (the decoded text is the normalised one).
 
@@ -298,34 +316,25 @@ def encoded(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     path = model_file or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = tokenizer(path)
-        for batch in batches:
-            for part in text_slices(batch, most=SLICE):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                ids, offsets = built.encode(texts)
-                back = built.decode(ids, offsets)
-                want = built.normalise(texts) if built.charsmap or built.model.trim_spaces else None
-                same = [b == t for b, t in zip(back, texts, strict=True)] if want is None else [built.normalise([b])[0] == w for b, w in zip(back, want, strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(back), pa.array(same)], ["doc_id", "ids", "decoded", "exact"])
+        for doc_ids, ids, offsets, back, same in _encoded_slices(path, batches):
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([doc_ids, lists, pa.array(back), pa.array(same)], ["doc_id", "ids", "decoded", "exact"])
 
-    return docs.select(docs.doc_id.cast("long").alias("doc_id"), docs.text.cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string, exact boolean")
+    return _rows(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string, exact boolean")
 
 
 def encoded_digests(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     """encoded() as digests: doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers), decoded_sha256, exact."""
+    path = model_file or default_model()
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("ids")
-            flat = np.asarray(lists.values, dtype="<i4")
-            at = np.asarray(lists.offsets).tolist()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_ids, ids, offsets, back, same in _encoded_slices(path, batches):
+            flat, at = ids.astype("<i4"), offsets.tolist()
             sha = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
-            back = [hashlib.sha256(t.encode()).hexdigest() for t in batch.column("decoded").to_pylist()]
-            n = pa.array(np.diff(at).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, pa.array(sha), pa.array(back), batch.column("exact")], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact"])
+            text = [hashlib.sha256(t.encode()).hexdigest() for t in back]
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(offsets).astype(np.int64)), pa.array(sha), pa.array(text), pa.array(same)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact"])
 
-    return encoded(docs, model_file).mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean")
+    return _rows(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean")
 
 
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:

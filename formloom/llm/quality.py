@@ -10,13 +10,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .labelled import training_ids
-from .session import narrow, table
+from .session import bounded_batches, narrow, table
 from .trees import FlatTrees, fit_trees
 from .words import text_slices
 
 #: Labelled rows of each class that the trees are fitted on, at most.
 PER_CLASS = 8_000
 ACCEPT = 0.7
+#: Bytes of text that are measured at once.
+SLICE = 1 << 20
 FEATURES = ("log_bytes", "log_words", "word_mean", "word_std", "letters", "upper", "digits", "high_bytes", "stops", "commas", "bangs", "symbols", "pipes", "brackets",
             "spaces", "byte_entropy", "log_lines", "line_repeats", "words_per_line", "distinct_words", "top_word", "top_repeat", "word_repeats", "pair_repeats",
             "ends_in_symbol", "upper_words", "title_words", "digit_words", "short_words", "long_words", "stop_per_word")
@@ -72,7 +74,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in text_slices(batch):
+        for part in text_slices(batch, most=SLICE):
             found = statistics(part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(list(found.astype("<f8")), pa.list_(pa.float64()))], ["label", "x"])
 
@@ -84,6 +86,7 @@ def held_out(doc_id) -> F.Column:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> FlatTrees:
     """Trees for ``labels.quality``, fitted on at most ``per_class`` rows of each class that are not held out."""
+    bounded_batches(docs.sparkSession)
     chosen = training_ids(labels.select("doc_id", "quality"), "quality", per_class, ~held_out(F.col("doc_id")))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(narrow(chosen, 2 * per_class), "doc_id")
     got = rows.select(F.col("quality").cast("int").alias("label"), "text").mapInArrow(_vectors, "label int, x array<double>").toArrow()
@@ -103,17 +106,15 @@ def class_weights(y: np.ndarray, labels: DataFrame, per_class: int) -> np.ndarra
 
 
 def with_quality(docs: DataFrame, trees: FlatTrees) -> DataFrame:
-    """``docs`` with a column __quality, the score of the whole text."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("__quality", T.DoubleType())])
-    rows = docs.select("*", F.lit(None).cast("double").alias("__quality"))
+    """``docs`` with a column __quality, the score of the whole text. Only texts go to Python, only scores come back."""
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch):
-                found = pa.array(trees.predict(statistics(part.column("text"))))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], found], part.schema.names)
+    @F.arrow_udf(T.DoubleType())
+    def score(texts: pa.Array) -> pa.Array:
+        rows = pa.RecordBatch.from_arrays([texts], ["text"])
+        found = [trees.predict(statistics(part.column("text"))) for part in text_slices(rows, most=SLICE)]
+        return pa.array(np.concatenate(found) if found else np.zeros(0))
 
-    return rows.mapInArrow(score, schema)
+    return docs.withColumn("__quality", score(F.col("text").cast("string")))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:

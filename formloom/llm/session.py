@@ -10,9 +10,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+#: Bytes of an Arrow batch on its way to Python: rows with very long texts travel in small batches.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_BYTES; other settings stay."""
+    spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and cut its lineage."""
     spark: SparkSession = df.sparkSession
+    bounded_batches(spark)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)

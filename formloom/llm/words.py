@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 @dataclass
@@ -41,6 +41,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_B
         held += size
     if start < len(sizes):
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
 
 
 def split_words(texts: pa.Array) -> Words:
