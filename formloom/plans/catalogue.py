@@ -83,8 +83,9 @@ def alias_ratio(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN len(w) > 0 THEN w[1] END AS first_token, nullif(array_to_string(w[2:], ' '), '') AS remaining FROM (SELECT doc_id, list_filter(regexp_split_to_array(trim(substr(text, 1, 200), ' '), '[\\s\\x{A0}]+'), lambda x: x <> '') AS w FROM documents)")
 def value_part(spark, sf_dir):
-    head = F.substring("text", 1, 200)
-    return _table(spark, sf_dir, "documents").select("doc_id", text.value_part(head, F.lit("first_token")).alias("first_token"), text.value_part(head, F.lit("remaining_tokens")).alias("remaining"))
+    """Both parts of whole documents. The SQL cuts at 200 characters and differs where a text is longer."""
+    v = F.col("text")
+    return _table(spark, sf_dir, "documents").select("doc_id", text.value_part(v, F.lit("first_token")).alias("first_token"), text.value_part(v, F.lit("remaining_tokens")).alias("remaining"))
 
 
 @query("SELECT o_orderkey, nullif(regexp_replace(substr('Serial number: ' || o_orderpriority, 14), '^[ :\\-–—\\t]+', ''), '') AS suffix FROM orders")
