@@ -97,18 +97,25 @@ def same_line_suffix(spark, sf_dir):
 
 @query("SELECT doc_id, item_id FROM (SELECT doc_id, " + canon("text") + " AS d FROM documents) x, (SELECT item_id, " + canon("substr(text, 1, 120)") + " AS b FROM benchmark) y WHERE length(b) > 0 AND contains(d, b)")
 def benchmark_support(spark, sf_dir):
-    """Documents that contain a benchmark passage's first 120 characters, by the containment arm of text support.
+    """Documents that contain a whole benchmark passage, by the containment arm of text support.
 
-    The passages are few and fixed; they travel as one array of at most 10 MB, checked, so documents aren't shuffled.
+    A passage may start or end inside a word, so the words between its first and last (four at most) lead to it: a
+    document meets the passages whose inner words it has. Passages of one or two words have none and are looked for in
+    every document. The SQL compares the first 120 characters only and differs where a document holds no more of a passage.
     """
-    items = _table(spark, sf_dir, "benchmark").select("item_id", text.canonical_text(F.substring("text", 1, 120)).alias("b")).where("b <> ''")
+    items = _table(spark, sf_dir, "benchmark").select("item_id", text.canonical_text(F.col("text")).alias("b")).where("b <> ''")
     docs = _table(spark, sf_dir, "documents").select("doc_id", text.canonical_text(F.col("text")).alias("d"))
-    # Equal first words narrow the pairs down: a document meets the passages whose first five words it has.
-    starts = F.expr("transform(sequence(0, greatest(size(w) - 5, 0)), i -> array_join(slice(w, i + 1, 5), ' '))")
-    grams = docs.withColumn("w", F.split("d", " ")).select("doc_id", F.explode(F.array_distinct(starts)).alias("g"))
-    key = items.withColumn("w", F.split("b", " ")).withColumn("g", F.array_join(F.slice("w", 1, 5), " ")).where("size(w) > 5")
-    near = grams.join(F.broadcast(key.select("g", "item_id", "b")), "g") if items.count() < 50_000 else grams.join(key.select("g", "item_id", "b"), "g")
-    return near.join(docs, "doc_id").where(F.contains("d", F.col("b"))).select("doc_id", "item_id").distinct()
+    key = items.withColumn("w", F.split("b", " ")).withColumn("n", F.least(F.size("w") - 2, F.lit(4)))
+    inner = key.where("n > 0").select("item_id", "b", "n", F.array_join(F.expr("slice(w, 2, n)"), " ").alias("g"))
+    few = items.count() < 50_000
+    held = docs.crossJoin(F.broadcast(key.where("n <= 0").select("item_id", "b"))).where(F.contains("d", F.col("b"))).select("doc_id", "item_id")
+    for (n,) in inner.select("n").distinct().collect():
+        starts = F.expr(f"transform(sequence(0, greatest(size(w) - {n}, 0)), i -> array_join(slice(w, i + 1, {n}), ' '))")
+        grams = docs.withColumn("w", F.split("d", " ")).select("doc_id", F.explode(F.array_distinct(starts)).alias("g"))
+        own = inner.where(F.col("n") == n).select("g", "item_id", "b")
+        near = grams.join(F.broadcast(own) if few else own, "g")
+        held = held.union(near.join(docs, "doc_id").where(F.contains("d", F.col("b"))).select("doc_id", "item_id"))
+    return held.distinct()
 
 
 # Labels, neighbours, controls.

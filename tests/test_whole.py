@@ -1,5 +1,7 @@
 """Registered queries do the whole job: small tables against brute force, where the SQL looks at a part."""
 
+import re
+
 from formloom.plans import catalogue
 
 
@@ -13,3 +15,15 @@ def test_value_part_reads_whole_texts(spark, tmp_path):
     got = {r["doc_id"]: (r["first_token"], r["remaining"]) for r in catalogue.QUERIES["value_part"](spark, str(tmp_path)).collect()}
     words = [(t or "").split() for t in texts]
     assert got == {i: (w[0] if w else None, " ".join(w[1:]) or None) for i, w in enumerate(words)}
+
+
+def test_benchmark_support_compares_whole_passages(spark, tmp_path):
+    long = " ".join(f"word{i}" for i in range(60))
+    passages = [long, "Only three, words", "two words", "texts無空格", "ends in side", "", None, "one two three four five", "a b c d e f"]
+    texts = [long, long[:200], f"x {long.upper()}, y", "only THREE words", "three words two words", "前texts無空格後", "bends in sidecars", None, "", "one two three four fivefold", "aa b c d e f", "one two three four"]
+    documents(spark, tmp_path, texts)
+    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    canon = lambda t: re.sub(r"[\W]+", " ", (t or "").lower()).strip()
+    want = {(i, j) for i, t in enumerate(texts) for j, p in enumerate(passages) if canon(p) and canon(p) in canon(t)}
+    assert {(0, 0), (2, 0), (5, 3), (6, 4)} <= want and (1, 0) not in want
+    assert sorted(map(tuple, catalogue.QUERIES["benchmark_support"](spark, str(tmp_path)).collect())) == sorted(want)
