@@ -3,7 +3,8 @@
 Messages may quote earlier ones with leading '>' marks, nested or not. Passages
 are runs of lines of one level; their normalised texts are hashed, and quoted
 passages are joined to the messages that wrote them. Conversations come out
-without quotes, each message with the one it replies to.
+without quotes, in reply order: linked messages form one conversation, in which
+a message comes after the one it replies to.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .session import checkpointed, table
 from .words import text_slices
@@ -58,16 +59,19 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linked_messages(messages: DataFrame) -> DataFrame:
-    """One row per message, without its quotes and with the message it replies to.
+    """One row per message, without its quotes, with the message it replies to and its place in the conversation of replies.
 
     conv_id, turn, role, clean_text, n_quotes (quoted passages), n_linked (those whose message was found), max_level,
-    parent_conv_id, parent_turn, linked (the parent is the source of a quote). A quoted passage belongs to the earliest
+    parent_conv_id, parent_turn, linked (the parent is the source of a quote), thread_conv_id, thread_turn (the message
+    that opens the conversation), position in it from 0. A quoted passage belongs to the earliest
     message of its own conversation that wrote it (as unquoted text) before the quoting turn, else to the first message by
     (conv_id, turn) of another conversation. A message replies to the source of its last outermost quote that has one;
-    without one, to the turn before it, and the first turn to none. Hence a conversation's own replies come after what
-    they reply to, and (conv_id, turn) is a reply order. Null texts count as empty; rows with a null conv_id or turn are
-    passed through without links; messages that repeat are kept. Other columns are ignored; an empty table gives an
-    empty result.
+    without one, to the turn before it, and the first turn to none. Messages that reply to each other, over any number of
+    steps, are one conversation, whatever their conv_id; in it they are ordered by the number of replies down from its
+    opening, then by (conv_id, turn). Quotes across conversations may run in a circle; its first message by (conv_id,
+    turn) then opens the conversation, though it has a parent. Null texts count as empty; rows with a null conv_id or turn
+    are passed through without links and place; messages that repeat are kept, and replies to them count as replies to
+    one of them. Other columns are ignored; an empty table gives an empty result.
     """
     rows = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     parsed = checkpointed(rows.mapInArrow(_parse, "conv_id long, turn long, role string, levels array<int>, hashes array<string>, clean_text string").withColumn("uid", F.monotonically_increasing_id()))
@@ -86,10 +90,62 @@ def linked_messages(messages: DataFrame) -> DataFrame:
     before = turns.select(F.col("conv_id").alias("c0"), (F.col("turn") + 1).alias("t0"))
     joined = parsed.join(per.drop("unused"), "uid", "left").join(before, (F.col("conv_id") == F.col("c0")) & (F.col("turn") == F.col("t0")), "left")
     source = F.col("best.s")
-    return joined.select(
-        "conv_id", "turn", "role", "clean_text", F.size(F.filter("levels", lambda x: x > 0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.coalesce(F.array_max("levels"), F.lit(0)).alias("max_level"),
+    linked = joined.select(
+        "uid", "conv_id", "turn", "role", "clean_text", F.size(F.filter("levels", lambda x: x > 0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.coalesce(F.array_max("levels"), F.lit(0)).alias("max_level"),
         F.coalesce(source["c"], F.col("c0")).alias("parent_conv_id"), F.coalesce(source["t"], F.col("t0") - 1).alias("parent_turn"), source.isNotNull().alias("linked"),
     )
+    return _ordered(checkpointed(linked)).drop("uid")
+
+
+def _jumped(state: DataFrame) -> tuple[DataFrame, int]:
+    """Pointer doubling until no more rows reach an opening; and how many rows don't, as they lead to a circle."""
+    left, before = state.where("not done").count(), -1
+    while left and left != before:
+        s = state.select(F.col("uid").alias("anc"), F.col("anc").alias("anc_"), F.col("depth").alias("depth_"), F.col("done").alias("done_"), F.col("root_conv").alias("conv_"), F.col("root_turn").alias("turn_"))
+        moved = state.where("not done").join(s, "anc").select("uid", F.col("anc_").alias("anc"), (F.col("depth") + F.col("depth_")).alias("depth"), F.col("done_").alias("done"), F.col("conv_").alias("root_conv"), F.col("turn_").alias("root_turn"))
+        state = checkpointed(state.where("done").unionByName(moved))
+        left, before = state.where("not done").count(), left
+    return state, left
+
+
+def _circle_openings(steps: DataFrame, rows: int) -> DataFrame:
+    """The first message (uid) by (conv_id, turn) of each circle that ``steps`` (uid, anc, key) of ``rows`` rows lead to."""
+    walk, length = steps.select("uid", F.col("anc").alias("to"), F.col("key").alias("low")), 1
+    while length < rows:
+        s = walk.select(F.col("uid").alias("to"), F.col("to").alias("to_"), F.col("low").alias("low_"))
+        walk = checkpointed(walk.join(s, "to").select("uid", F.col("to_").alias("to"), F.least("low", "low_").alias("low")))
+        length *= 2
+    circle = walk.select(F.col("to").alias("uid")).distinct()
+    return walk.join(circle, "uid").join(steps.select("uid", "key"), "uid").where(F.col("low") == F.col("key")).select("uid")
+
+
+def _ordered(linked: DataFrame) -> DataFrame:
+    """``linked`` with thread_conv_id, thread_turn and position."""
+    placed = linked.where("conv_id is not null and turn is not null")
+    # Of messages with one key, the first by content stands for it.
+    one = placed.groupBy(F.col("conv_id").alias("parent_conv_id"), F.col("turn").alias("parent_turn")).agg(F.min(F.struct(F.xxhash64("role", "clean_text").alias("h"), "uid"))["uid"].alias("up"))
+    first = placed.select("uid", "conv_id", "turn", "parent_conv_id", "parent_turn").join(one, ["parent_conv_id", "parent_turn"], "left")
+    opens = F.col("up").isNull()
+    first = checkpointed(first.select("uid", F.coalesce("up", "uid").alias("anc"), F.when(opens, 0).otherwise(1).cast("long").alias("depth"), opens.alias("done"), F.when(opens, F.col("conv_id")).alias("root_conv"), F.when(opens, F.col("turn")).alias("root_turn"), F.struct("conv_id", "turn").alias("key")))
+    state, left = _jumped(first.drop("key"))
+    if left:
+        round_ = first.join(state.where("not done").select("uid"), "uid", "left_semi")
+        cut = F.col("cut").isNotNull()
+        again = round_.join(_circle_openings(round_, left).withColumn("cut", F.lit(True)), "uid", "left")
+        again = again.select("uid", F.when(cut, F.col("uid")).otherwise(F.col("anc")).alias("anc"), F.when(cut, 0).otherwise(1).cast("long").alias("depth"), cut.alias("done"), F.when(cut, F.col("key.conv_id")).alias("root_conv"), F.when(cut, F.col("key.turn")).alias("root_turn"))
+        state, left = _jumped(checkpointed(state.where("done").unionByName(again)))
+        if left:
+            raise RuntimeError(f"{left} messages without a conversation")
+    thread = ["thread_conv_id", "thread_turn"]
+    rows = checkpointed(placed.join(state.select("uid", "depth", F.col("root_conv").alias(thread[0]), F.col("root_turn").alias(thread[1])), "uid"))
+    # Conversations may be of any size: ranges of the order are numbered, then the rows of earlier ranges are added.
+    order = [*thread, "depth", "conv_id", "turn", F.xxhash64("role", "clean_text"), "uid"]
+    dealt = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())).withColumn("range", F.shiftright("at", 33))
+    runs = dealt.groupBy("range", *thread).agg(F.min("at").alias("start"), F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy(*thread).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select("range", *thread, "start", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    found = dealt.join(runs, ["range", *thread]).select(*linked.columns, *thread, (F.col("at") - F.col("start") + F.col("earlier")).alias("position"))
+    return found.unionByName(linked.where("conv_id is null or turn is null"), allowMissingColumns=True)
 
 
 def op3_quotation_linking(spark, sf_dir: str) -> DataFrame:
