@@ -251,10 +251,10 @@ def label_fragments(spark, sf_dir):
 
 @query("SELECT job_id, id AS block_id, rank FROM (SELECT job_id, id, row_number() OVER (PARTITION BY job_id ORDER BY CASE WHEN id = 'b3' THEN 1.0 ELSE 0.0 END DESC, confidence DESC, index) AS rank FROM elig) WHERE rank <= 4")
 def block_search_rank(spark, sf_dir):
-    """Blocks to search for a birth weight: the one with its label, then in reading order."""
+    """Blocks to search for a birth weight: by similarity to its label, then in reading order. The SQL scores all but one block as 0."""
     spans, blocks, _ = forms(spark, sf_dir)
     chosen = regions.eligible_blocks(blocks)
-    scores = regions.block_label_scores(chosen, spans, _BP.label_alias_rows(spark), ratio=False)
+    scores = regions.block_label_scores(chosen, spans, _BP.label_alias_rows(spark))
     wanted = spans.select("job_id").distinct().withColumn("path", F.lit("data.baby.birthWeight"))
     return regions.search_blocks(chosen, scores, wanted).select("job_id", "block_id", F.col("rank").cast("long").alias("rank"))
 
@@ -266,7 +266,7 @@ def recovery_tasks(spark, sf_dir):
     paths, _ = _paths(spark)
     chosen = regions.eligible_blocks(blocks)
     plans = regions.plan_recovery(_decisions(spark, sf_dir, 0), audit.evidence_ledger(spans, blocks, controls))
-    scores = regions.block_label_scores(chosen, spans, _BP.label_alias_rows(spark), ratio=False)
+    scores = regions.block_label_scores(chosen, spans, _BP.label_alias_rows(spark))
     tasks, _ = regions.recovery_tasks(plans, chosen, scores, paths.where("checkbox"))
     return tasks.select("job_id", "block_id", F.array_join("paths", ",").alias("paths"), F.array_join("reasons", ",").alias("reasons"), F.array_join("actions", ",").alias("actions"))
 

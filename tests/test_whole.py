@@ -1,8 +1,11 @@
 """Registered queries do the whole job: small tables against brute force, where the SQL looks at a part."""
 
 import re
+from difflib import SequenceMatcher
 
 from formloom.plans import catalogue
+from formloom.plans.catalogue import _BP
+from formloom.plans.forms import VALUES, form_table
 
 
 def documents(spark, folder, texts):
@@ -27,3 +30,50 @@ def test_benchmark_support_compares_whole_passages(spark, tmp_path):
     want = {(i, j) for i, t in enumerate(texts) for j, p in enumerate(passages) if canon(p) and canon(p) in canon(t)}
     assert {(0, 0), (2, 0), (5, 3), (6, 4)} <= want and (1, 0) not in want
     assert sorted(map(tuple, catalogue.QUERIES["benchmark_support"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+SF = "/root/testdata/sf0.001"
+LABELS = ["Serial number", "First name", "Collection date", "Birth weight", "Date of birth"]
+
+
+def few_forms(spark, folder):
+    spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey < 12").write.parquet(f"{folder}/orders.parquet")
+    spark.read.parquet(f"{SF}/customer.parquet").write.parquet(f"{folder}/customer.parquet")
+    rows = form_table(spark, str(folder), VALUES).where("e = 0").collect()
+    return {str(k): {r["i"]: r["val"] for r in rows if r["k"] == k} for k in {r["k"] for r in rows}}
+
+
+def best_blocks(values, targets):
+    """The four blocks whose label, value or both are most similar to one of the targets."""
+
+    def score(n, t):
+        if n == t:
+            return 1.0
+        return max(0.96, min(0.98, len(t) / len(n) + 0.35)) if t in n else SequenceMatcher(None, n, t).ratio()
+
+    canon = lambda t: re.sub(r"[\W]+", " ", t.lower()).strip()
+    texts = lambda i: map(canon, (LABELS[i], values[i], f"{LABELS[i]} {values[i]}"))
+    return [f"b{i}" for i in sorted(range(5), key=lambda i: (-max(score(n, t) for n in texts(i) for t in targets), i))][:4]
+
+
+def test_search_ranks_blocks_by_similarity(spark, tmp_path):
+    forms = few_forms(spark, tmp_path)
+    got = {}
+    for r in catalogue.QUERIES["block_search_rank"](spark, str(tmp_path)).orderBy("job_id", "rank").collect():
+        got.setdefault(r["job_id"], []).append(r["block_id"])
+    assert got == {k: best_blocks(v, ["birth weight"]) for k, v in forms.items()} and any(v != ["b3", "b0", "b1", "b2"] for v in got.values())
+
+
+def test_recovery_searches_blocks_by_similarity(spark, tmp_path):
+    forms = few_forms(spark, tmp_path)
+    aliases = {}
+    for r in _BP.label_alias_rows(spark).collect():
+        aliases.setdefault(r["path"], []).append(r["alias"])
+    paths, blocks = {}, {}
+    for r in catalogue.QUERIES["recovery_tasks"](spark, str(tmp_path)).collect():
+        found = [p for p, how in zip(r["paths"].split(","), r["reasons"].split(","), strict=True) if how == "search"]
+        if found:
+            paths.setdefault(r["job_id"], set()).update(found)
+            blocks.setdefault(r["job_id"], set()).add(r["block_id"])
+    assert blocks and blocks == {k: set(best_blocks(forms[k], [a for p in v for a in aliases[p]])) for k, v in paths.items()}
+    assert any(v != {"b0", "b1", "b2", "b3"} for v in blocks.values())
