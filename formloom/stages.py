@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept where every executor can read it; its plan is cut here."""
+    """``df``, computed once and kept where every executor can read it; its plan is cut here.
+
+    The folder is the session's spark.checkpoint.dir. Only a local session without one gets a temporary folder.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+        if not folder and context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="formloom-"))
     return df.checkpoint()
