@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .labelled import training_ids
+from .labelled import training_ids, usable_labels
 from .session import bounded_batches, narrow, table
 from .trees import FlatTrees, fit_trees
 from .words import text_slices
@@ -87,18 +87,19 @@ def held_out(doc_id) -> F.Column:
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> FlatTrees:
     """Trees for ``labels.quality``, fitted on at most ``per_class`` rows of each class that are not held out."""
     bounded_batches(docs.sparkSession)
-    chosen = training_ids(labels.select("doc_id", "quality"), "quality", per_class, ~held_out(F.col("doc_id")))
+    labels, learned = labels.select("doc_id", "quality"), ~held_out(F.col("doc_id"))
+    chosen = training_ids(labels, "quality", per_class, learned)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(narrow(chosen, 2 * per_class), "doc_id")
     got = rows.select(F.col("quality").cast("int").alias("label"), "text").mapInArrow(_vectors, "label int, x array<double>").toArrow()
     x = np.asarray(got.column("x").combine_chunks().flatten()).reshape(-1, len(FEATURES)) if got.num_rows else np.zeros((0, len(FEATURES)))
     y = np.asarray(got.column("label"), dtype=np.float64)
     order = np.lexsort([*x.T, y])
-    return fit_trees(x[order], y[order], class_weights(y[order], labels, per_class))
+    return fit_trees(x[order], y[order], class_weights(y[order], usable_labels(labels, "quality", learned)))
 
 
-def class_weights(y: np.ndarray, labels: DataFrame, per_class: int) -> np.ndarray:
-    """Weights that undo the classes' bounds, so that scores are probabilities among all labelled rows."""
-    counts = {r["quality"]: r["n"] for r in labels.where("quality in (0, 1)").groupBy("quality").agg(F.count("*").alias("n")).collect()}
+def class_weights(y: np.ndarray, learned: DataFrame) -> np.ndarray:
+    """Weights that undo the classes' bounds, so that scores are probabilities among all labels that may be learned from."""
+    counts = {r["quality"]: r["n"] for r in learned.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     total = {c: max(1.0, float((y == c).sum())) for c in (0, 1)}
     scale = {c: counts.get(c, 0) / total[c] for c in (0, 1)}
     weight = np.where(y == 1, scale[1], scale[0])

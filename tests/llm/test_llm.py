@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from formloom.llm import components, exact, lengths, lm, minhash, mixing, neighbours, pieces, quality, quotes, toxicity, trees, words
+from formloom.llm import components, exact, labelled, lengths, lm, minhash, mixing, neighbours, pieces, quality, quotes, toxicity, trees, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -227,6 +227,25 @@ def test_quality_learns(spark):
     assert len(got) > 50 and (got.quality == got.predicted).mean() > 0.93 and got.score.between(0, 1).all()
 
 
+def test_quality_learns_nothing_from_held_out_labels(spark):
+    """Flipping, dropping or repeating held-out labels changes no bit of any score; nor does the order of rows."""
+    d, y = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    held = quality.held_out(y["doc_id"])
+    scores = lambda labels, docs=d: {r["doc_id"]: r["score"] for r in rows_of(quality.quality_scores(docs, labels))}
+    want = scores(y)
+    assert len(set(want.values())) > 100
+    for other in (y.withColumn("quality", (held.cast("int") + y["quality"]) % 2), y.where(~held), y.union(y.where(held)).union(y.where(~held))):
+        assert scores(other.repartition(3), d.repartition(7)) == want
+
+
+def test_quality_training_is_bounded(spark):
+    d, y = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    chosen = rows_of(labelled.training_ids(y, "quality", 30, ~quality.held_out(y["doc_id"])))
+    assert Counter(r["quality"] for r in chosen) == {0: 30, 1: 30} and not any(crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in chosen)
+    got = quality.quality_scores(d, y, per_class=30).join(y, "doc_id").toPandas()
+    assert got.score.nunique() > 10 and (got.quality == got.predicted).mean() > 0.8
+
+
 def test_quality_of_odd_rows(docs, spark, empty):
     y = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1), (1, 1)], "doc_id long, quality int")
     got = rows_of(quality.quality_scores(docs, y))
