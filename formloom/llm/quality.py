@@ -19,6 +19,8 @@ PER_CLASS = 8_000
 ACCEPT = 0.7
 #: Bytes of text that are measured at once.
 SLICE = 1 << 20
+#: Texts whose byte counts are held together.
+TOGETHER = 512
 FEATURES = ("log_bytes", "log_words", "word_mean", "word_std", "letters", "upper", "digits", "high_bytes", "stops", "commas", "bangs", "symbols", "pipes", "brackets",
             "spaces", "byte_entropy", "log_lines", "line_repeats", "words_per_line", "distinct_words", "top_word", "top_repeat", "word_repeats", "pair_repeats",
             "ends_in_symbol", "upper_words", "title_words", "digit_words", "short_words", "long_words", "stop_per_word")
@@ -29,46 +31,64 @@ for _k, _members in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOP
 
 
 def statistics(texts: pa.Array) -> np.ndarray:
-    """A row of FEATURES for each text; a null or empty one has zeros."""
+    """A row of FEATURES for each text; a null or empty one, or one without words, has zeros."""
     texts = pc.fill_null(texts, "")
-    data = np.frombuffer(b"".join(texts.cast(pa.binary()).to_pylist()), np.uint8)
+    return np.concatenate([_statistics(texts.slice(at, TOGETHER)) for at in range(0, len(texts), TOGETHER)] or [np.zeros((0, len(FEATURES)))])
+
+
+def _split(parts: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """Of each part the row that it is of, and all parts."""
+    offsets = np.asarray(parts.offsets, dtype=np.int64)
+    return np.repeat(np.arange(len(parts)), np.diff(offsets)), parts.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0]))
+
+
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.divide(a, b, out=np.zeros(len(a)), where=b > 0)
+
+
+def _statistics(texts: pa.Array) -> np.ndarray:
     n = len(texts)
-    ends = np.cumsum(np.asarray(pc.binary_length(texts), dtype=np.int64))
-    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    out = np.zeros((n, len(FEATURES)))
-    parts = pc.ascii_split_whitespace(texts)
-    offsets = np.asarray(parts.offsets, dtype=np.int64) - parts.offsets[0].as_py()
-    words = parts.values.slice(parts.offsets[0].as_py(), int(offsets[-1]))
-    lengths = np.asarray(pc.binary_length(words), dtype=np.int64)
-    codes = np.asarray(words.dictionary_encode().indices, dtype=np.int64)
-    raw = words.cast(pa.binary())
-    tail = np.frombuffer(b"".join(w[-1:] or b" " for w in raw.to_pylist()), np.uint8)
-    head = np.frombuffer(b"".join(w[:1] or b" " for w in raw.to_pylist()), np.uint8)
-    upper_word = np.asarray(pc.and_(pc.equal(words, pc.ascii_upper(words)), pc.not_equal(words, pc.ascii_lower(words)))) & (lengths > 1)
-    lines = pc.split_pattern(texts, "\n")
-    line_at = np.asarray(lines.offsets, dtype=np.int64) - lines.offsets[0].as_py()
-    line_codes = np.asarray(lines.values.slice(lines.offsets[0].as_py(), int(line_at[-1])).dictionary_encode().indices, dtype=np.int64)
-    symbol_tail = _CLASS[tail][:, [6, 7, 8]].sum(axis=1)
-    for d in range(n):
-        own = data[begins[d] : ends[d]]
-        a, b = offsets[d], offsets[d + 1]
-        keep = lengths[a:b] > 0
-        size = lengths[a:b][keep]
-        if not len(size):
-            continue
-        counts = np.bincount(own, minlength=256)
-        share = counts @ _CLASS / len(own)
-        some = counts[counts > 0] / len(own)
-        mine = codes[a:b][keep]
-        _, seen = np.unique(mine, return_counts=True)
-        same = float((mine[1:] == mine[:-1]).mean()) if len(mine) > 1 else 0.0
-        pairs = mine[1:] * (codes.max() + 1) + mine[:-1]
-        pair_repeat = 1 - len(np.unique(pairs)) / len(pairs) if len(pairs) else 0.0
-        rows = line_codes[line_at[d] : line_at[d + 1]]
-        heads = head[a:b][keep]
-        out[d] = (np.log1p(len(own)), np.log1p(len(size)), size.mean(), size.std(), *share, -(some * np.log2(some)).sum(), np.log1p(len(rows)),
-                  1 - len(np.unique(rows)) / len(rows), len(size) / len(rows), len(seen) / len(size), seen.max() / len(size), np.log1p(seen.max()), same, pair_repeat,
-                  symbol_tail[a:b][keep].mean(), upper_word[a:b][keep].mean(), _CLASS[heads, 1].mean(), _CLASS[heads, 2].mean(), (size <= 3).mean(), (size >= 12).mean(), counts[46] / len(size))
+    per = lambda at, weights=None: np.bincount(at, weights, n).astype(float)
+    data = np.frombuffer(b"".join(texts.cast(pa.binary()).to_pylist()), np.uint8)
+    sizes = np.asarray(pc.binary_length(texts), dtype=np.int64)
+    held = np.bincount(np.repeat(np.arange(n) << 8, sizes) + data, minlength=n << 8).reshape(n, 256)
+    some = held / np.maximum(sizes, 1)[:, None]
+    share = some @ _CLASS
+    entropy = -(some * np.log2(np.where(held > 0, some, 1))).sum(axis=1)
+
+    # Words: what holds for a word is found once for each distinct one.
+    at, words = _split(pc.ascii_split_whitespace(texts))
+    coded = words.dictionary_encode()
+    vocab, code = coded.dictionary, np.asarray(coded.indices, dtype=np.int64)
+    length = np.asarray(pc.binary_length(vocab), dtype=np.int64)
+    raw = vocab.cast(pa.binary()).to_pylist()
+    head, tail = (np.frombuffer(b"".join(x or b" " for x in ends), np.uint8) for ends in ([w[:1] for w in raw], [w[-1:] for w in raw]))
+    upper = np.asarray(pc.and_(pc.equal(vocab, pc.ascii_upper(vocab)), pc.not_equal(vocab, pc.ascii_lower(vocab))), dtype=bool) & (length > 1)
+    if len(code):
+        full = length[code] > 0
+        at, code = at[full], code[full]
+    v = max(len(vocab), 1)
+    count, size = per(at), length[code].astype(float)
+    mean = _ratio(per(at, size), count)
+    spread = np.sqrt(_ratio(per(at, (size - mean[at]) ** 2), count))
+    of_word = lambda x: _ratio(per(at, x[code].astype(float)), count)
+    own, seen = np.unique(at * v + code, return_counts=True)
+    most = np.zeros(n)
+    np.maximum.at(most, own // v, seen)
+    next_ = at[1:] == at[:-1]
+    same = next_ & (code[1:] == code[:-1])
+    pairs = np.unique((at[1:][next_] * v + code[1:][next_]) * v + code[:-1][next_]) // (v * v)
+    gaps = np.maximum(count - 1, 0)
+
+    row, lines = _split(pc.split_pattern(texts, "\n"))
+    line = np.asarray(lines.dictionary_encode().indices, dtype=np.int64)
+    width = int(line.max()) + 1 if len(line) else 1
+    all_lines, distinct = per(row), per(np.unique(row * width + line) // width)
+    out = np.column_stack([
+        np.log1p(sizes), np.log1p(count), mean, spread, share, entropy, np.log1p(all_lines), 1 - _ratio(distinct, all_lines), _ratio(count, all_lines), _ratio(per(own // v), count), _ratio(most, count), np.log1p(most),
+        _ratio(per(at[1:][same]), gaps), np.where(gaps > 0, 1 - _ratio(per(pairs), gaps), 0), of_word(_CLASS[tail][:, [6, 7, 8]].sum(axis=1)), of_word(upper), of_word(_CLASS[head, 1]), of_word(_CLASS[head, 2]), of_word(length <= 3), of_word(length >= 12), _ratio(held[:, 46], count),
+    ])
+    out[count == 0] = 0
     return out
 
 
