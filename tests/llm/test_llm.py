@@ -233,7 +233,7 @@ def test_quality_learns_nothing_from_held_out_labels(spark):
     held = quality.held_out(y["doc_id"])
     scores = lambda labels, docs=d: {r["doc_id"]: r["score"] for r in rows_of(quality.quality_scores(docs, labels))}
     want = scores(y)
-    assert len(set(want.values())) > 100
+    assert len(set(want.values())) > 30
     for other in (y.withColumn("quality", (held.cast("int") + y["quality"]) % 2), y.where(~held), y.union(y.where(held)).union(y.where(~held))):
         assert scores(other.repartition(3), d.repartition(7)) == want
 
