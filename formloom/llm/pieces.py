@@ -20,8 +20,9 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
-from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from .session import bounded_batches, table
 from .words import text_slices
@@ -29,6 +30,8 @@ from .words import text_slices
 MARK = "▁"
 #: Cuts that are encoded as one run; cuts that a worker remembers; text that it handles at once; threads of a worker.
 JOINED, CACHED, SLICE, THREADS = 500, 200_000, 1 << 20, 2
+#: Characters of a text that the library checks, at most.
+WITNESS = 20_000
 #: Fixed values of the model format: model types, and piece types.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -79,6 +82,8 @@ class PieceModel:
     dummy_prefix: bool = True
     trim_spaces: bool = True
     escape_spaces: bool = True
+    marker_last: bool = False
+    unknown_surface: str = " \u2047 "
 
     @classmethod
     def parse(cls, data: bytes) -> PieceModel:
@@ -91,7 +96,8 @@ class PieceModel:
                 model.types.append(own.get(3, NORMAL))
             elif number == 2:
                 own = dict(_fields(value))
-                model.model_type, model.byte_fallback = own.get(3, UNIGRAM), bool(own.get(35, 0))
+                model.model_type, model.byte_fallback, model.marker_last = own.get(3, UNIGRAM), bool(own.get(35, 0)), bool(own.get(24, 0))
+                model.unknown_surface = own[44].decode() if 44 in own else model.unknown_surface
             elif number == 3:
                 own = dict(_fields(value))
                 model.charsmap = own.get(2, b"")
@@ -115,32 +121,94 @@ def _merges(model: PieceModel, ids: dict[str, int]) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in sorted(found)]
 
 
+class CharacterMap:
+    """A model's character map: at each place the longest string that it has is replaced, anything else stays.
+
+    The map is a double-array trie over UTF-8 bytes, of 32-bit units, behind its size; leaves point to the replacements,
+    which follow, each with a zero byte at its end.
+    """
+
+    def __init__(self, data: bytes) -> None:
+        size = int(np.frombuffer(data[:4], "<u4")[0])
+        units, out = np.frombuffer(data[4 : 4 + size], "<u4").astype(np.int64), data[4 + size :]
+        offset = (units >> 10) << ((units & 512) >> 6)
+        self.to: dict[str, str] = {}
+        level = [(b"", int(offset[0]))]
+        while level:  # all nodes of one length at a time, with all their children
+            at = np.array([n for _, n in level], np.int64)[:, None] ^ np.arange(1, 256)
+            inside = at < len(units)
+            child = np.where(inside, at, 0)
+            good = inside & ((units[child] & 0x800000FF) == np.arange(1, 256))
+            following = []
+            for row, byte in zip(*(x.tolist() for x in np.nonzero(good)), strict=True):
+                node = int(child[row, byte])
+                key, base = level[row][0] + bytes([byte + 1]), node ^ int(offset[node])
+                if units[node] >> 8 & 1:
+                    start = int(units[base]) & 0x7FFFFFFF
+                    self.to[key.decode()] = out[start : out.index(b"\0", start)].decode()
+                following.append((key, base))
+            level = following
+        self.longest = max(map(len, self.to), default=0)
+        alone = regex.escape("".join(sorted({k for k in self.to if len(k) == 1})), special_only=False)
+        heads, nexts = (regex.escape("".join(sorted({k[i] for k in self.to if len(k) > 1})), special_only=False) for i in (0, 1))
+        parts = [f"[{heads}][{nexts}]"] * bool(heads) + [f"[{alone}]"] * bool(alone)
+        #: Where a replacement may start; other characters are passed over.
+        self.start = regex.compile("|".join(parts)) if parts else None
+
+    def __call__(self, text: str) -> str:
+        if self.start is None:
+            return text
+        done, at, parts = 0, 0, []
+        while found := self.start.search(text, at):
+            at = found.start()
+            for n in range(min(self.longest, len(text) - at), 0, -1):
+                if (new := self.to.get(text[at : at + n])) is not None:
+                    parts += [text[done:at], new]
+                    at = done = at + n
+                    break
+            else:
+                at += 1
+        return "".join([*parts, text[done:]])
+
+
 class PieceTokenizer:
     """Encodes and decodes whole texts in batches. Special pieces in a text are ordinary text."""
 
     def __init__(self, data: bytes) -> None:
         self.model = model = PieceModel.parse(data)
-        if model.model_type not in (UNIGRAM, BPE) or not model.escape_spaces or any(t == USER_DEFINED for t in model.types):
-            raise ValueError("only unigram and BPE models with escaped spaces and no user-defined pieces are supported")
-        usable = {p: i for i, (p, t) in enumerate(zip(model.pieces, model.types, strict=True)) if t in (NORMAL, BYTE, UNKNOWN)}
-        names = {p: i for i, p in enumerate(model.pieces)}
+        if model.model_type not in (UNIGRAM, BPE) or not model.escape_spaces or model.marker_last or any(t == USER_DEFINED for t in model.types):
+            raise ValueError("only unigram and BPE models with escaped spaces, markers first and no user-defined pieces are supported")
+        kinds = list(zip(model.pieces, model.types, strict=True))
         if model.model_type == BPE:
-            core = models.BPE(names, _merges(model, {p: i for p, i in usable.items() if model.types[i] == NORMAL}), unk_token=model.pieces[model.unknown], fuse_unk=True, byte_fallback=model.byte_fallback)
-        else:
-            core = models.Unigram([(p, s) for p, s in zip(model.pieces, model.scores, strict=True)], model.unknown, model.byte_fallback)
+            names = {p: i for i, p in enumerate(model.pieces)}
+            if alone := {c for p, t in kinds if t == NORMAL for c in p} - {p for p, t in kinds if t == NORMAL}:
+                raise ValueError(f"characters of pieces that are no pieces can't be merged: {sorted(alone)[:5]}")
+            core = models.BPE(names, _merges(model, {p: i for i, (p, t) in enumerate(kinds) if t == NORMAL}), unk_token=model.pieces[model.unknown], fuse_unk=True, byte_fallback=model.byte_fallback)
+        else:  # pieces that no text may match keep their ids under names with a space, which no normalised text has
+            core = models.Unigram([(p, s) if t == NORMAL else (f" {i}", 0.0) for i, ((p, t), s) in enumerate(zip(kinds, model.scores, strict=True))], model.unknown, False)
         self.backend = Tokenizer(core)
-        #: A cut before each marker run is exact only if no piece has a marker inside.
-        self.cuts = not any(MARK in p.lstrip(MARK) for p, t in zip(model.pieces, model.types, strict=True) if t == NORMAL)
+        #: A cut before each marker run is exact only if a piece has a marker at its start alone, and no unknown run crosses it.
+        self.cuts = not any(MARK in p.lstrip(MARK) for p, t in kinds if t == NORMAL) and (model.byte_fallback or (MARK, NORMAL) in kinds)
         if self.cuts:
             self.backend.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
-        self.backend.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " ")])
-        self.charsmap = normalizers.Precompiled(model.charsmap) if model.charsmap else None
+        self.charsmap = CharacterMap(model.charsmap) if model.charsmap else None
         self._reset()
-        surface = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else p.replace(MARK, " ").encode() for p, t in zip(model.pieces, model.types, strict=True)]
+        #: Ids of the bytes, where the unigram core's unknown runs are to be spelled out.
+        self.byte_ids = np.array([{int(p[3:5], 16): i for i, (p, t) in enumerate(kinds) if t == BYTE}.get(b, model.unknown) for b in range(256)], np.int32) if model.model_type == UNIGRAM and model.byte_fallback else None
+        surface = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else model.unknown_surface.encode() if t == UNKNOWN else p.replace(MARK, " ").encode() for p, t in kinds]
+        self.marked = np.array([p.startswith(MARK) and t == NORMAL for p, t in kinds])
         self.out_size = np.array([len(x) for x in surface], np.int64)
         self.out_start = np.cumsum(self.out_size) - self.out_size
         self.out_flat = np.frombuffer(b"".join(surface), np.uint8)
 
+    def _ids(self, text: str, got) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of an encoding and of each the word that it is of; unknown runs as bytes if the model has them."""
+        ids, words = np.array(got.ids, np.int32), np.array(got.word_ids, np.int64) if got.ids else np.zeros(0, np.int64)
+        if self.byte_ids is None or self.model.unknown not in got.ids:
+            return ids, words
+        parts = [self.byte_ids[np.frombuffer(text[a:b].encode(), np.uint8)] if i == self.model.unknown else ids[k : k + 1] for k, (i, (a, b)) in enumerate(zip(got.ids, got.offsets, strict=True))]
+        return np.concatenate(parts), np.repeat(words, [len(x) for x in parts])
+
     def _reset(self) -> None:
         """Forget the cuts encoded so far: their places by text, and the ids of all, one after the other."""
         self.place: dict[str, int] = {}
@@ -155,7 +223,7 @@ class PieceTokenizer:
         out = []
         for text in texts:
             if self.charsmap:
-                text = self.charsmap.normalize_str(text)
+                text = self.charsmap(text)
             if self.model.trim_spaces:
                 text = " ".join(x for x in text.split(" ") if x)
             if text and self.model.dummy_prefix:
@@ -177,11 +245,12 @@ class PieceTokenizer:
                 alone.append(cut)
         runs += [run] if run else []
         found: dict[str, np.ndarray] = {}
-        for own, got in zip(runs, self.backend.encode_batch(["".join(r) for r in runs], add_special_tokens=False), strict=True):
-            bounds = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(own) + 1)).tolist()
-            ids = np.array(got.ids, np.int32)
+        joined = ["".join(r) for r in runs]
+        for own, text, got in zip(runs, joined, self.backend.encode_batch(joined, add_special_tokens=False), strict=True):
+            ids, words = self._ids(text, got)
+            bounds = np.searchsorted(words, np.arange(len(own) + 1)).tolist()
             found.update((cut, ids[x:y]) for cut, x, y in zip(own, bounds[:-1], bounds[1:], strict=True))
-        found.update((cut, np.array(got.ids, np.int32)) for cut, got in zip(alone, self.backend.encode_batch(alone, add_special_tokens=False), strict=True))
+        found.update((cut, self._ids(cut, got)[0]) for cut, got in zip(alone, self.backend.encode_batch(alone, add_special_tokens=False), strict=True))
         return [found[c] for c in cuts]
 
     def _places(self, cuts: list[str]) -> np.ndarray:
@@ -248,13 +317,16 @@ class PieceTokenizer:
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """Texts of id sequences; the space of the prefix is left out, bytes that form no UTF-8 become U+FFFD."""
         data, at = _gather(self.out_flat, self.out_start[ids], self.out_size[ids], offsets)
-        raw, cut, out = data.tobytes(), int(self.model.dummy_prefix), []
-        for d, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        raw, out = data.tobytes(), []
+        some = offsets[1:] > offsets[:-1]
+        cuts = np.zeros(len(some), bool)  # the prefix of the first piece; a space spelled as a byte is none
+        cuts[some] = self.marked[ids[offsets[:-1][some]]] & self.model.dummy_prefix
+        for a, b, cut in zip(at[:-1].tolist(), at[1:].tolist(), cuts.tolist(), strict=True):
             try:
                 text = raw[a:b].decode()
             except UnicodeDecodeError:
-                text = self.backend.decode(ids[offsets[d] : offsets[d + 1]].tolist(), skip_special_tokens=False)
-            out.append(text[cut:] if cut and text.startswith(" ") else text)
+                text = regex.sub("[\udc80-\udcff]", "\ufffd", raw[a:b].decode(errors="surrogateescape"))
+            out.append(text[cut:])
         return out
 
 
@@ -280,22 +352,32 @@ def tokenizer(path: str, parity: bool = True) -> PieceTokenizer:
 PROBES = ("", " ", "  two  spaces ", "plain words of a text", "Tabs\tand\nlines\r\n", "été ß naïve ▁ mark", "\U0001f600 bytes ͸", "<s> </s> <unk> <0x41>", "UPPER!! ### $$$ 12345 a.b@c.de", "中文 日本語", "a" * 40)
 
 
-def parity_failures(built: PieceTokenizer, path: str, texts) -> list[str]:
-    """The texts whose ids differ from those of the sentencepiece library."""
+@lru_cache(maxsize=2)
+def _reference(path: str):
     import sentencepiece
 
-    reference = sentencepiece.SentencePieceProcessor(model_file=path)
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def parity_failures(built: PieceTokenizer, path: str, texts) -> list[str]:
+    """The texts whose ids differ from those of the sentencepiece library."""
     ids, offsets = built.encode(list(texts))
-    return [t for t, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True) if reference.encode(t) != ids[a:b].tolist()]
+    return [t for t, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True) if _reference(path).encode(t) != ids[a:b].tolist()]
 
 
 def _encoded_slices(path: str, batches: Iterator[pa.RecordBatch]):
-    """For each slice: doc_ids, ids and offsets, decoded texts, and whether these are the normalised ones."""
+    """For each slice: doc_ids, ids and offsets, decoded texts, and whether these are the normalised ones.
+
+    Each slice's first text of at most WITNESS characters is encoded by the sentencepiece library too, whole; a difference is an error.
+    """
     built = tokenizer(path)
     for batch in batches:
         for part in text_slices(batch, most=SLICE):
             texts = [t or "" for t in part.column("text").to_pylist()]
             ids, offsets = built.encode(texts)
+            witness = next((k for k, t in enumerate(texts) if 0 < len(t) <= WITNESS), None)
+            if witness is not None and _reference(path).encode(texts[witness]) != ids[offsets[witness] : offsets[witness + 1]].tolist():
+                raise ValueError(f"the rebuilt tokenizer differs from the model on {texts[witness][:200]!r}")
             back = built.decode(ids, offsets)
             plain = not built.charsmap and not built.model.trim_spaces
             same = [b == t for b, t in zip(back, texts, strict=True)] if plain else [a == b for a, b in zip(built.normalise(back), built.normalise(texts), strict=True)]

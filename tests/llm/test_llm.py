@@ -329,6 +329,76 @@ def test_pieces_of_odd_texts():
     assert [x.replace("▁", " ") for x in odd] == built.decode(ids, offsets)
 
 
+def _field(number, value):
+    """A protobuf field of a number, a float or bytes."""
+
+    def varint(x):
+        out = b""
+        while x >= 0x80:
+            out, x = out + bytes([x & 0x7F | 0x80]), x >> 7
+        return out + bytes([x])
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + np.float32(value).tobytes()
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def hand_model(kind, fallback, charsmap, rng):
+    """A model file written by hand: words and parts of words with drawn scores, control and unused pieces between them. Nothing is trained."""
+    words = "the of and in words spark engine table data über straße été naïve here there quick brown fox a b c d e f g h i n o r s t ab th he in er an re on at nd".split()
+    parts = {w[:k] for w in words for k in range(1, len(w) + 1)} | {w[k:] for w in words for k in range(len(w))} | set("abcdefghijklmnopqrstuvwxyz.,!0123456789<>/") | {c for w in words for c in w}
+    pieces_ = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] * fallback
+    pieces_ += [("▁", -6.0, 1), ("quicksand", -1.0, 5)] + [(p, float(-4 - 10 * rng.random()), 1) for p in sorted(parts | {"▁" + w for w in parts})] + [("<late>", 0.0, 3)]
+    if kind == pieces.BPE:  # scores are ranks
+        pieces_ = [(p, float(-i), t) for i, (p, s, t) in enumerate(pieces_)]
+    data = b"".join(_field(1, _field(1, p.encode()) + _field(2, s) + _field(3, t)) for p, s, t in pieces_)
+    return data + _field(2, _field(3, kind) + _field(35, int(fallback))) + _field(3, _field(2, charsmap) + _field(3, 1) + _field(4, int(bool(charsmap))) + _field(5, 1))
+
+
+def nmt_nfkc():
+    """The character map that the library brings along under this name."""
+    import sentencepiece
+
+    spec = dict(pieces._fields(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()))[3]
+    return dict(pieces._fields(spec))[2]
+
+
+@pytest.mark.parametrize("mapped", [False, True])
+@pytest.mark.parametrize("fallback", [False, True])
+@pytest.mark.parametrize("kind", [pieces.UNIGRAM, pieces.BPE])
+def test_pieces_of_hand_written_models(kind, fallback, mapped, tmp_path, docs):
+    """Ids and decoded texts are the library's for unigram and BPE models, with and without byte fallback and a character map."""
+    import sentencepiece
+
+    path = tmp_path / "own.model"
+    path.write_bytes(hand_model(kind, fallback, nmt_nfkc() if mapped else b"", np.random.default_rng(8)))
+    sp, built = sentencepiece.SentencePieceProcessor(model_file=str(path)), pieces.PieceTokenizer.load(str(path))
+    odd = ["<s> </s> <unk> <0x41> <late> quicksand", "the quick brown fox", "ﬁne Ｆｕｌｌ　ｗｉｄｔｈ ①½ e\u0301 가\u1100\u1161 \u200b x\xa0y", "xyzzy 中文 中文\U0001f600", "tab\there\r\nnew", "▁▁the", "  a  b  ", "é" * 30, "\ufeffstart \u00ad soft"]
+    texts = [*pieces.PROBES, *odd, *(r["text"] or "" for r in docs.limit(120).collect())]
+    assert pieces.parity_failures(built, str(path), texts) == []
+    ids, offsets = built.encode(texts)
+    assert built.decode(ids, offsets) == [sp.decode(sp.encode(t)) for t in texts]
+
+
+def test_decoding_of_stray_bytes():
+    import sentencepiece
+
+    path = pieces.default_model()
+    sp, built = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceTokenizer.load(path)
+    rng = np.random.default_rng(1)
+    rows = [rng.integers(3, 259, 6).tolist() for _ in range(200)]
+    flat, offsets = np.concatenate([np.array(r, np.int32) for r in rows]), np.arange(0, 6 * 201, 6)
+    assert built.decode(flat, offsets) == [sp.decode(r) for r in rows]
+
+
+def test_encoded_ignores_clashing_columns(docs):
+    clash = docs.withColumns({"ids": docs["doc_id"], "exact": docs["size"], "n_tokens": docs["size"]})
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, pieces.encoded_digests(clash).collect())) == sorted(map(key, pieces.encoded_digests(docs).collect()))
+
+
 def test_length_histogram_answers_every_limit(spark, docs):
     import sentencepiece
 
