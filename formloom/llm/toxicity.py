@@ -3,7 +3,11 @@
 Categories are predicted in order. The model of a category sees the terms of the
 text and the probabilities of the categories before it. Those it is trained with
 come from models that were not fitted on the row in question (out of fold), as
-they will be for new texts.
+they will be for new texts: neither their weights nor their choice of terms has
+seen the row's label.
+
+Terms are counted and chosen in Spark. The driver gets the chosen ones, and of
+each training row which of them it has.
 """
 
 from __future__ import annotations
@@ -14,10 +18,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .labelled import training_ids
-from .session import bounded_batches, narrow, table
+from .session import bounded_batches, checkpointed, narrow, table
 from .words import hash_strings, split_words, text_slices
 
 #: Labelled rows of each class of the last category that the chain is fitted on, at most; terms of a model; folds.
@@ -85,57 +89,105 @@ class Chain:
         return x[:, len(self.terms) :]
 
 
-def choose_terms(flat: np.ndarray, offsets: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    """The terms whose presence tells most about any category, by the signed root of the likelihood ratio, ascending."""
-    names, code = np.unique(flat, return_inverse=True)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    best = np.zeros(len(names))
-    for c in range(y.shape[1]):
-        n1, n0 = max(y[:, c].sum(), 1e-9), max((1 - y[:, c]).sum(), 1e-9)
-        k1 = np.bincount(code, weights=y[row, c], minlength=len(names))
-        k0 = np.bincount(code, minlength=len(names)) - k1
-        expect = (k1 + k0) * n1 / (n1 + n0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = 2 * (np.where(k1 > 0, k1 * np.log(k1 / expect), 0) + np.where(k0 > 0, k0 * np.log(k0 / (k1 + k0 - expect)), 0))
-        best = np.maximum(best, np.where(k1 + k0 >= 3, gain, 0))
-    keep = np.argsort(-best, kind="stable")[:most]
-    return np.sort(names[keep[best[keep] > 10.83]])
-
-
-def fit_chain(flat: np.ndarray, offsets: np.ndarray, y: np.ndarray, categories: tuple[str, ...], terms: int = TERMS, folds: int = FOLDS) -> Chain:
-    names = choose_terms(flat, offsets, y, terms)
-    x = presence(flat, offsets, names)
-    fold = np.arange(len(x)) % folds
-    models = []
+#: A term must occur in so many rows, and its likelihood ratio must pass the 0.1 % point of chi-square.
+LEAST, TELLING = 3, 10.83
+
+
+def _term_counts(folds: int):
+    """By term and fold: rows that have it, and how many of them are of each category."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                flat, offsets = terms_of(part.column("text"))
+                row = np.repeat(np.arange(part.num_rows), np.diff(offsets))
+                fold, y = np.asarray(part.column("fold"))[row], np.array(part.column("y").to_pylist(), float)[row]
+                for k in range(folds):
+                    names, code = np.unique(flat[fold == k], return_inverse=True)
+                    counts = np.column_stack([np.bincount(code, minlength=len(names)), *(np.bincount(code, c, len(names)) for c in y[fold == k].T)]) if len(names) else np.zeros((0, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.full(len(names), k, np.int32)), pa.array(list(counts), pa.list_(pa.float64()))], ["term", "fold", "counts"])
+
+    return run
+
+
+def choose_terms(rows: DataFrame, categories: int, most: int, folds: int) -> list[np.ndarray]:
+    """The terms whose presence tells most about any category, by the likelihood ratio: of all rows, then of all but each fold.
+
+    ``rows`` has fold, y and text; terms come ascending, as unsigned hashes.
+    """
+    counted = rows.mapInArrow(_term_counts(folds), "term long, fold int, counts array<double>")
+    cell = lambda k, c: F.sum(F.when(F.col("fold") == k, F.col("counts")[c]).otherwise(0.0)).alias(f"k{k}_{c}")
+    counts = checkpointed(counted.groupBy("term").agg(*[cell(k, c) for k in range(folds) for c in range(categories + 1)]))
+    of = {r["fold"]: r for r in rows.groupBy("fold").agg(F.count("*").alias("n"), *[F.sum(F.col("y")[c]).alias(f"y{c}") for c in range(categories)]).collect()}
+    chosen = []
+    for left_out in (None, *range(folds)):
+        used = [k for k in range(folds) if k != left_out]
+        held = sum((F.col(f"k{k}_0") for k in used), F.lit(0.0))
+        all_rows = sum(of[k]["n"] for k in used if k in of)
+
+        def gain(c: int) -> Column:
+            ones = sum(of[k][f"y{c}"] for k in used if k in of)  # noqa: B023
+            hit = sum((F.col(f"k{k}_{c + 1}") for k in used), F.lit(0.0))  # noqa: B023
+            expect = held * (ones / max(all_rows, 1))  # noqa: B023
+            term = lambda k, e: F.when((k > 0) & (e > 0), k * F.ln(k / e)).otherwise(0.0)
+            return 2 * (term(hit, expect) + term(held - hit, held - expect))  # noqa: B023
+
+        gains = [gain(c) for c in range(categories)]
+        best = counts.where(held >= LEAST).select("term", (F.greatest(*gains) if categories > 1 else gains[0]).alias("gain")).where(F.col("gain") > TELLING)
+        found = best.orderBy(F.desc("gain"), "term").limit(most).select("term").toArrow().column("term").combine_chunks()
+        chosen.append(np.sort(np.asarray(found, dtype=np.int64).view(np.uint64)))
+    return chosen
+
+
+def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray, own: np.ndarray, without: list[np.ndarray]) -> tuple[list[Linear], np.ndarray]:
+    """The models of the categories (columns of ``y``) in order, and the out-of-fold probabilities that they were fitted with.
+
+    ``own`` are the columns of ``x`` chosen on all rows, ``without`` those chosen without each fold.
+    """
+    models, earlier = [], np.zeros((len(x), 0))
     for c in range(y.shape[1]):
         ones = np.ones(len(x))
-        models.append(fit_linear(x, y[:, c], ones))
+        models.append(fit_linear(np.hstack([x[:, own], earlier]), y[:, c], ones))
         out = np.zeros(len(x))
-        for k in range(folds):
-            if (fold == k).any():
-                out[fold == k] = fit_linear(x[fold != k], y[fold != k, c], ones[fold != k]).predict(x[fold == k])
-        x = np.hstack([x, out[:, None]])
-    return Chain(tuple(categories), names, models)
+        for k, terms in enumerate(without):
+            test = fold == k
+            if test.any():
+                z = np.hstack([x[:, terms], earlier])
+                out[test] = fit_linear(z[~test], y[~test, c], ones[~test]).predict(z[test])
+        earlier = np.hstack([earlier, out[:, None]])
+    return models, earlier
 
 
-def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in text_slices(batch):
-            flat, offsets = terms_of(part.column("text"))
-            own = [flat[a:b].astype("<u8").tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(own, pa.binary())], ["doc_id", "y", "terms"])
+def _bits(terms: np.ndarray):
+    """Which of ``terms`` each text has, in bits."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                packed = np.packbits(presence(*terms_of(part.column("text")), terms).astype(bool), axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("doc_id", "fold", "y")] + [pa.array([p.tobytes() for p in packed], pa.binary())], ["doc_id", "fold", "y", "bits"])
 
-def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], per_class: int = PER_CLASS) -> Chain:
-    """A chain for 0/1 columns of ``labels``, in order, fitted on at most ``per_class`` rows of each class of the last."""
+    return run
+
+
+def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], per_class: int = PER_CLASS, terms: int = TERMS, folds: int = FOLDS) -> Chain:
+    """A chain for 0/1 columns of ``labels``, in order, fitted on at most ``per_class`` rows of each class of the last.
+
+    The driver gets at most (1 + ``folds``) * ``terms`` terms and a bit for each of them and each training row.
+    """
     chosen = training_ids(labels.select("doc_id", *categories), categories[-1], per_class).na.drop()
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(narrow(chosen, 2 * per_class), "doc_id")
-    rows = rows.select("doc_id", F.array(*[F.col(c).cast("double") for c in categories]).alias("y"), "text")
-    got = rows.mapInArrow(_term_rows, "doc_id long, y array<double>, terms binary").toArrow().sort_by("doc_id")
-    own = [np.frombuffer(t, "<u8") for t in got.column("terms").to_pylist()]
-    flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
-    return fit_chain(flat, offsets, np.array(got.column("y").to_pylist(), np.float64).reshape(-1, len(categories)), categories)
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int").alias("fold")
+    rows = checkpointed(rows.select("doc_id", fold, F.array(*[F.col(c).cast("double") for c in categories]).alias("y"), "text"))
+    own, *without = choose_terms(rows, len(categories), terms, folds)
+    names = np.unique(np.concatenate([own, *without]))
+    got = rows.mapInArrow(_bits(names), "doc_id long, fold int, y array<double>, bits binary").toArrow().sort_by([("doc_id", "ascending"), ("bits", "ascending")])
+    raw = np.frombuffer(b"".join(got.column("bits").to_pylist()), np.uint8).reshape(got.num_rows, -(-len(names) // 8))
+    x = np.unpackbits(raw, axis=1, count=len(names)).astype(float) if len(names) else np.zeros((got.num_rows, 0))
+    y = np.array(got.column("y").to_pylist(), float).reshape(-1, len(categories))
+    place = lambda chosen_: np.searchsorted(names, chosen_)
+    models, _ = fit_chain(x, y, np.asarray(got.column("fold")), place(own), [place(w) for w in without])
+    return Chain(tuple(categories), own, models)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("low_quality", "toxic"), per_class: int = PER_CLASS, threshold: float = 0.5) -> DataFrame:
