@@ -11,9 +11,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .session import checkpointed, narrow
+from .session import checkpointed, narrow, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -64,52 +64,65 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__size": F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long"), "__hash": _hash()})
 
 
+def _edges(rows: DataFrame, open_: DataFrame, shift: int) -> DataFrame:
+    """Where the budgets end among the buckets of one level: source, edge, before, words and last, one row per source of ``open_``.
+
+    ``open_`` has edge_source, edge (the bucket of the level above), base (words of all buckets before it) and budget.
+    The words of a bucket are summed first, so a window holds the 2 ** LEVEL_BITS buckets of one bucket of a source at most.
+    """
+    bucket = F.expr(f"shiftright(__hash, {shift})")
+    inside = rows.join(open_, F.col("source").eqNullSafe(F.col("edge_source")) & (F.expr(f"shiftright(__hash, {shift + LEVEL_BITS})") == F.col("edge")))
+    level = inside.groupBy("source", "base", "budget", bucket.alias("bucket")).agg(F.sum("__size").alias("words"))
+    upto = F.col("base") + F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
+    level = level.withColumn("upto", upto).withColumn("over", F.col("upto") > F.col("budget"))
+    found = F.min(F.when(F.col("over"), F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"), "words")))
+    return level.groupBy("source").agg(found.alias("at"), F.max("bucket").alias("last")).select("source", F.col("at.bucket").alias("edge"), F.col("at.before").alias("before"), F.col("at.words").alias("words"), "last")
+
+
 def plan_mix(rows: DataFrame, share: float = SHARE, weights: tuple = WEIGHTS, most: float = MOST) -> dict[str | None, SourcePlan]:
-    """Targets and thresholds by source, from rows with source, __size and __hash.
+    """Targets and thresholds by source, from stored rows with source, __size and __hash.
 
-    The driver holds one entry per source and, while it refines, the histogram of one bucket per source.
+    The driver holds one entry per source; the histograms stay in Spark, which gives back the bucket of each source's boundary.
     """
     spark = rows.sparkSession
-    shift = HASH_BITS - LEVEL_BITS
-    level = rows.groupBy("source", F.expr(f"shiftright(__hash, {shift})").alias("bucket")).agg(F.sum("__size").alias("words")).collect()
-    sizes: dict[str | None, int] = {}
-    for r in level:
-        sizes[r["source"]] = sizes.get(r["source"], 0) + r["words"]
+    sizes = {r["source"]: r["words"] for r in rows.groupBy("source").agg(F.sum("__size").alias("words")).collect()}
     targets = mix_targets(sizes, share, weights, most)
     times = {s: int(targets[s] // sizes[s]) if sizes[s] else 0 for s in sizes}
     budget = {s: targets[s] - times[s] * sizes[s] for s in sizes}
     threshold = dict.fromkeys(sizes, 0)
-    open_ = {s for s in sizes if budget[s] > 0}
-    while open_:
-        found: dict[str | None, dict[int, int]] = {}
-        for r in level:
-            found.setdefault(r["source"], {})[r["bucket"]] = r["words"]
-        for s in list(open_):
-            buckets = sorted(found.get(s, {}).items())
-            edge = None
-            for bucket, words in buckets:
-                if words > budget[s]:
-                    edge = bucket
-                    break
-                budget[s] -= words
-            if edge is None:
-                threshold[s] = (buckets[-1][0] + 1) << shift if buckets else threshold[s]
-                open_.remove(s)
-                continue
-            threshold[s] = edge << shift
-            if shift == 0:  # the documents of one hash are left: take them if that comes nearer
-                if found[s][edge] - budget[s] < budget[s]:
-                    threshold[s] += 1
-                open_.remove(s)
-        if not open_:
-            break
-        edges = spark.createDataFrame([(s, threshold[s] >> shift) for s in open_], "edge_source string, edge long")
-        inside = rows.join(narrow(edges, len(open_)), F.col("source").eqNullSafe(F.col("edge_source")) & (F.expr(f"shiftright(__hash, {shift})") == F.col("edge")))
+    at = {s: (0, 0) for s in sizes if budget[s] > 0}  # the bucket to refine, and the words before it
+    shift = HASH_BITS
+    while at and shift:
         shift -= LEVEL_BITS
-        level = inside.groupBy("source", F.expr(f"shiftright(__hash, {shift})").alias("bucket")).agg(F.sum("__size").alias("words")).collect()
+        open_ = spark.createDataFrame([(s, edge, base, float(budget[s])) for s, (edge, base) in at.items()], "edge_source string, edge long, base long, budget double")
+        found = {r["source"]: r for r in _edges(rows, narrow(open_, len(at)), shift).collect()}
+        at = {}
+        for s, r in found.items():
+            if r["edge"] is None:  # the budget covers all that is left
+                threshold[s] = (r["last"] + 1) << shift
+            elif shift:
+                at[s] = (r["edge"], r["before"])
+            else:  # the documents of one hash are left: take them if that comes nearer
+                left = budget[s] - r["before"]
+                threshold[s] = r["edge"] + (r["words"] - left < left)
     return {s: SourcePlan(sizes[s], targets[s], times[s], threshold[s]) for s in sizes}
 
 
+def _planned(rows: DataFrame, plan: dict[str | None, SourcePlan]) -> DataFrame:
+    """``rows`` with their source's plan and __copies, how often each is taken."""
+    plans = rows.sparkSession.createDataFrame([(s, p.size, p.target, p.times, p.threshold) for s, p in plan.items()], "__source string, __total long, __target double, __times long, __threshold long")
+    joined = rows.join(narrow(plans, len(plan)), F.col("source").eqNullSafe(F.col("__source")))
+    return joined.withColumn("__copies", F.col("__times") + (F.col("__hash") < F.col("__threshold")).cast("long"))
+
+
+def _stored(docs: DataFrame) -> DataFrame:
+    return checkpointed(measured(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")).drop("text"))
+
+
+def _told(found: DataFrame) -> DataFrame:
+    return found.withColumns({"size": F.col("__size"), "source_size": F.col("__total"), "target": F.col("__target"), "taken": F.col("__copies") * F.col("__size")})
+
+
 def mixed(docs: DataFrame, share: float = SHARE, weights: tuple = WEIGHTS, most: float = MOST) -> DataFrame:
     """All columns of ``docs`` with size, source_size, target and taken (in words, repeats counted).
 
@@ -117,22 +130,29 @@ def mixed(docs: DataFrame, share: float = SHARE, weights: tuple = WEIGHTS, most:
     size 0, an unknown source is a source of its own, and an empty table gives an empty result. Columns of ``docs``
     that are called like one of the results give way to it.
     """
-    rows = measured(docs)
-    plan = plan_mix(checkpointed(rows.select("source", "__size", "__hash")), share, weights, most)
-    table = rows.sparkSession.createDataFrame([(s, p.size, p.target, p.times, p.threshold) for s, p in plan.items()], "__source string, __total long, __target double, __times long, __threshold long")
-    joined = rows.join(narrow(table, len(plan)), F.col("source").eqNullSafe(F.col("__source")))
-    times = F.col("__times") + (F.col("__hash") < F.col("__threshold")).cast("long")
-    return joined.withColumns({"size": F.col("__size"), "source_size": F.col("__total"), "target": F.col("__target"), "taken": times * F.col("__size"), "__copies": times})
+    return _told(_planned(measured(docs), plan_mix(_stored(docs), share, weights, most)))
+
+
+def mixed_ids(docs: DataFrame, share: float = SHARE, weights: tuple = WEIGHTS, most: float = MOST) -> DataFrame:
+    """mixed() as doc_id, source, size, source_size, target and taken alone: texts are read and counted once."""
+    rows = _stored(docs)
+    return _told(_planned(rows, plan_mix(rows, share, weights, most))).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as the mix takes them: left out, once, or repeated. A text without words goes by its hash alike."""
-    return mixed(docs).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    """The rows of ``docs`` as the mix takes them: left out, once, or repeated.
+
+    A text without words (null, empty, blank) goes by its hash alike; rows of one doc_id, and null ones, go together; ties
+    of hashes too. An empty table gives an empty one. Columns called __hash, __source, __total, __target, __times,
+    __threshold, __copies or __copy must not be among those of ``docs``.
+    """
+    rows = _stored(docs)
+    taken = _planned(docs.withColumn("__hash", _hash()), plan_mix(rows))
+    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixed_ids(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE = r"""

@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from formloom.llm import components, exact, labelled, lengths, lm, minhash, mixing, neighbours, pieces, quality, quotes, toxicity, trees, words
 
@@ -162,6 +163,17 @@ def test_mix_takes_near_its_targets(docs):
     key = lambda r: (str(r["doc_id"]), str(r["text"]), r["taken"])
     assert sorted(map(key, got)) == sorted(map(key, rows_of(mixing.mixed(docs.repartition(3)).select("doc_id", "text", "taken"))))
     assert mixing.mix(docs).count() == sum(r["taken"] // r["size"] for r in got if r["size"]) + mixing.mix(docs).where("trim(coalesce(text, '')) = '' or text rlike '^[ \\\\s]+$'").count()
+    short = rows_of(mixing.mixed_ids(docs))
+    assert Counter((r["doc_id"], r["source"], r["size"], r["taken"]) for r in short) == Counter((r["doc_id"], r["source"], r["size"], r["taken"]) for r in got)
+
+
+def test_mix_of_one_hash_and_of_ties(spark):
+    """Rows of one id can't be parted; sources without words, and null ones, are sources too."""
+    rows = [(7, "a b c", "s")] * 40 + [(i, "x " * (i % 5), None) for i in range(50)] + [(1000 + i, None, "blank") for i in range(3)]
+    got = rows_of(mixing.mixed_ids(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert len(got) == len(rows) and {r["taken"] for r in got if r["source"] == "s"} <= {0, 3, 6} and len({r["taken"] for r in got if r["source"] == "s"}) == 1
+    own = [r for r in got if r["source"] is None]
+    assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 4 and all(r["taken"] == 0 for r in got if r["source"] == "blank")
 
 
 @pytest.mark.parametrize("name", ["op4_mixing", "op10_exact_dedup"])
@@ -300,6 +312,76 @@ def test_toxicity_chain(spark):
     assert {r["score"] for r in rows_of(toxicity.toxicity(d, y.limit(0), ("rude", "threat")))} == {0.5}
 
 
+def plain_chain(rows, labels, most, folds, fold_of):
+    """The chain again, plainly: sets of words, terms by likelihood ratio, logistic regression by Newton steps."""
+    ids = sorted(labels)
+    words_of = {i: {w.strip("!#$%&'()*+,-./:;<=>?@[]^_`{|}~").lower() for w in rows[i].split()} for i in ids}
+
+    def chosen(used):
+        gains = {}
+        for t in {t for i in used for t in words_of[i]}:
+            have = [i for i in used if t in words_of[i]]
+            for c in (0, 1):
+                k, e = sum(labels[i][c] for i in have), len(have) * sum(labels[i][c] for i in used) / len(used)
+                g = 2 * sum(a * math.log(a / b) for a, b in ((k, e), (len(have) - k, len(have) - e)) if a and b)
+                gains[t] = max(gains.get(t, 0), g if len(have) >= 3 else 0)
+        return sorted((t for t in gains if gains[t] > 10.83), key=lambda t: -gains[t])[:most]
+
+    def fit(z, y):
+        z = np.column_stack([z, np.ones(len(z))])
+        b, ridge = np.zeros(z.shape[1]), np.append(np.full(z.shape[1] - 1, 0.1), 1e-3)
+        for _ in range(12):
+            p = 1 / (1 + np.exp(-z @ b))
+            b = b + np.linalg.solve(z.T @ np.diag(np.maximum(p * (1 - p), 1e-6)) @ z + np.diag(ridge), z.T @ (y - p) - ridge * b)
+        return lambda q: 1 / (1 + np.exp(-(np.column_stack([q, np.ones(len(q))]) @ b)))
+
+    matrix = lambda terms: np.array([[t in words_of[i] for t in terms] for i in ids], float).reshape(len(ids), -1)
+    y, fold, own = np.array([labels[i] for i in ids], float), np.array([fold_of[i] for i in ids]), chosen(ids)
+    earlier, out = np.zeros((len(ids), 0)), []
+    for c in (0, 1):
+        x = np.hstack([matrix(own), earlier if c == 0 else np.array(out).T])
+        out.append(fit(np.hstack([matrix(own), earlier]), y[:, c])(x))
+        held = np.zeros(len(ids))
+        for k in range(folds):
+            z = np.hstack([matrix(chosen([i for i, f in zip(ids, fold) if f != k])), earlier])
+            held[fold == k] = fit(z[fold != k], y[fold != k, c])(z[fold == k])
+        earlier = np.hstack([earlier, held[:, None]])
+    return {i: (a, b) for i, a, b in zip(ids, *out)}
+
+
+def test_toxicity_chain_matches_a_plain_one(spark):
+    """Also with a null doc_id, repeated rows, a very long text and clashing columns."""
+    rng = np.random.default_rng(9)
+    rows, labels = {}, {}
+    for i in range(240):
+        a = int(rng.random() < 0.4)
+        b = int(a and rng.random() < 0.5)
+        w = [f"w{x}" for x in rng.integers(0, 60, 12)] + ["Vile!!"] * (a and rng.random() < 0.8) + ["(threat,"] * (b and rng.random() < 0.7) + ["kind"] * (not a and rng.random() < 0.6)
+        rows[i], labels[i] = " ".join(w), (a, b)
+    rows[3] += " w1" * 50_000
+    table = [(i, t, 1, 0.5) for i, t in rows.items()] + [(None, rows[5], 1, 0.5), (900, rows[7], 1, 0.5), (900, rows[7], 1, 0.5)]
+    d = spark.createDataFrame(table, "doc_id long, text string, fold int, score double").repartition(4)
+    y = spark.createDataFrame([(i, *v) for i, v in labels.items()] + [(None, 1, 1), (901, 1, 1), (5, None, None)], "doc_id long, rude int, threat int")
+    fold_of = {r[0]: r[1] for r in spark.range(240).select("id", F.pmod(F.xxhash64("id"), F.lit(3)).cast("int")).collect()}
+    want = plain_chain(rows, labels, toxicity.TERMS, 3, fold_of)
+    got = rows_of(toxicity.toxicity(d, y, ("rude", "threat")))
+    assert len(got) == len(table)
+    for r in got:
+        p = want[{None: 5, 900: 7}.get(r["doc_id"], r["doc_id"])]
+        assert math.isclose(r["p_rude"], p[0], abs_tol=1e-5) and math.isclose(r["p_threat"], p[1], abs_tol=1e-5)
+
+
+def test_out_of_fold_probabilities_ignore_their_own_labels(spark):
+    rng = np.random.default_rng(2)
+    x, fold = (rng.random((90, 6)) < 0.4).astype(float), np.arange(90) % 3
+    y = np.column_stack([x[:, 0], rng.integers(0, 2, 90)]).astype(float)
+    flipped = y.copy()
+    flipped[fold == 1] = 1 - flipped[fold == 1]
+    own, without = np.arange(6), [np.array([0, 1, 2]), np.array([1, 3]), np.array([0, 4, 5])]
+    a, b = (toxicity.fit_chain(x, v, fold, own, without)[1] for v in (y, flipped))
+    assert (a[fold == 1, 0] == b[fold == 1, 0]).all() and not np.allclose(a[fold != 1, 0], b[fold != 1, 0])
+
+
 def test_toxicity_on_labels(spark):
     d, y = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = toxicity.op5_toxicity(spark, "/root/testdata/sf0.01").join(y, "doc_id").toPandas()
