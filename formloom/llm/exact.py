@@ -1,8 +1,8 @@
 """Exact deduplication by exchange of Golomb-coded fingerprints.
 
-Every input partition sorts the short fingerprints of its texts, splits them by
-owner and sends each owner its part as a Golomb-Rice code: about ten bits a
-text. An owner merges the codes it gets and answers every sender with a bitmap
+Every chunk (some input partitions) sorts the short fingerprints of its texts,
+splits them by owner and sends each owner its part as a Golomb-Rice code: about
+ten bits a text. Chunks and owners grow with the corpus up to a bound of memory. An owner merges the codes it gets and answers every sender with a bitmap
 of the fingerprints that others have too. Only those suspects' texts are
 shuffled, and compared byte for byte.
 """
@@ -15,11 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .session import checkpointed, narrow
+from .session import checkpointed, narrow, salted_join
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of a sender's chunk, and fingerprints of an owner.
-CHUNK_ROWS, OWNER_ROWS = 500_000, 500_000
+#: Rows of a piece of a chunk, and fingerprints of an owner in a small corpus; they grow with it to so many times as many.
+CHUNK_ROWS, OWNER_ROWS, GROWTH = 500_000, 500_000, 8
 #: Bits of a fingerprint beyond those that number the rows: one text in 2**8 is suspected wrongly.
 SPARE_BITS = 8
 
@@ -63,43 +63,48 @@ def _split(values: np.ndarray, owners: int, width: int) -> tuple[np.ndarray, lis
 def exact_groups(rows: DataFrame, key: str, fingerprint: str, total: int) -> DataFrame:
     """The keys (long) of rows whose fingerprint, cut to the bits that ``total`` rows need, occurs more than once.
 
-    ``rows`` must be materialised with a ``part`` column that names the partition it came from; a key is unique.
+    ``rows`` must be materialised with a ``part`` column that names the partition it came from; a key is unique. A chunk
+    and an owner have about 1 / 4,096 of all rows within their bounds, so messages stay millions as rows grow.
     """
     bits = min(62, max(1, total - 1).bit_length() + SPARE_BITS)
-    owners = max(1, -(-total // OWNER_ROWS))
+    own_rows = max(OWNER_ROWS, min(GROWTH * OWNER_ROWS, total >> 12))
+    owners = max(1, -(-total // own_rows))
     width = -(-(1 << bits) // owners)
+    parts = (rows.agg(F.max("part")).first()[0] or 0) + 1
+    # Partitions of a chunk: as many as make up its rows, as long as there are chunks enough for all cores.
+    group = max(1, min(own_rows * parts // max(total, 1), parts // (4 * rows.sparkSession.sparkContext.defaultParallelism)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values, part, seq, held = [], [], None, 0, 0
+        keys, values, chunk, seq, held = [], [], None, 0, 0
 
-        def chunk() -> pa.RecordBatch:
+        def piece() -> pa.RecordBatch:
             data = [np.concatenate(x).astype("<i8").tobytes() for x in (keys, values)]
-            return pa.RecordBatch.from_arrays([pa.array([f"{part}-{seq}"]), pa.array([data[0]]), pa.array([data[1]])], ["chunk", "keys", "prints"])
+            return pa.RecordBatch.from_arrays([pa.array([f"{chunk}-{seq}"]), pa.array([data[0]]), pa.array([data[1]])], ["chunk", "keys", "prints"])
 
         for batch in batches:
             for start in range(0, batch.num_rows, 10_000):
                 cut = batch.slice(start, 10_000)
-                part = cut.column("part")[0].as_py() if part is None else part
+                chunk = cut.column("part")[0].as_py() // group if chunk is None else chunk
                 keys.append(np.asarray(cut.column("key")))
                 values.append((np.asarray(cut.column("print")).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64))
                 held += cut.num_rows
                 if held >= CHUNK_ROWS:
-                    yield chunk()
+                    yield piece()
                     keys, values, seq, held = [], [], seq + 1, 0
         if held:
-            yield chunk()
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pack(batches):
-            for row in range(batch.num_rows):
-                distinct, cuts = _split(np.frombuffer(batch.column("prints")[row].as_py(), "<i8"), owners, width)
-                out = []
-                for owner in range(owners):
-                    own = distinct[cuts[owner] : cuts[owner + 1]] - owner * width
-                    if len(own):
-                        k = rice_parameter(len(own), width)
-                        out.append((owner, batch.column("chunk")[row].as_py(), len(own), k, rice_encode(own, k)))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["owner", "chunk", "n", "k", "code"])
+            yield piece()
+
+    read = lambda packed, name: np.concatenate([np.frombuffer(x, "<i8") for x in packed.column(name).to_pylist()])
+
+    def send(packed: pa.Table) -> pa.Table:
+        distinct, cuts = _split(read(packed, "prints"), owners, width)
+        out = []
+        for owner in range(owners):
+            own = distinct[cuts[owner] : cuts[owner + 1]] - owner * width
+            if len(own):
+                k = rice_parameter(len(own), width)
+                out.append((owner, packed.column("chunk")[0].as_py(), len(own), k, rice_encode(own, k)))
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["owner", "chunk", "n", "k", "code"])
 
     def answer(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -112,7 +117,7 @@ def exact_groups(rows: DataFrame, key: str, fingerprint: str, total: int) -> Dat
         return pa.table({"chunk": group.column("chunk"), "owner": group.column("owner"), "bitmap": pa.array(maps, pa.binary())})
 
     def suspects(packed: pa.Table, maps: pa.Table) -> pa.Table:
-        keys, values = (np.frombuffer(packed.column(c)[0].as_py(), "<i8") for c in ("keys", "prints"))
+        keys, values = read(packed, "keys"), read(packed, "prints")
         distinct, cuts = _split(values, owners, width)
         place = np.searchsorted(distinct, values)
         flagged = np.bincount(place, minlength=len(distinct)) > 1
@@ -123,7 +128,7 @@ def exact_groups(rows: DataFrame, key: str, fingerprint: str, total: int) -> Dat
 
     prints = rows.select("part", F.col(key).alias("key"), F.col(fingerprint).alias("print"))
     packed = prints.mapInArrow(pack, "chunk string, keys binary, prints binary")
-    sent = prints.mapInArrow(send, "owner int, chunk string, n int, k int, code binary")
+    sent = packed.groupBy("chunk").applyInArrow(send, "owner int, chunk string, n int, k int, code binary")
     maps = sent.groupBy("owner").applyInArrow(answer, "chunk string, owner int, bitmap binary")
     return packed.groupBy("chunk").cogroup(maps.groupBy("chunk")).applyInArrow(suspects, "key long")
 
@@ -140,7 +145,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("uid"), F.spark_partition_id().alias("part"), "doc_id", F.sha2(text, 256).alias("text_sha256"), F.xxhash64(text).alias("print")
     )
     base = checkpointed(base)
-    suspect = checkpointed(exact_groups(base, "uid", "print", base.count()))
+    total = base.count()
+    suspect = checkpointed(exact_groups(base, "uid", "print", total))
     rows = base.join(narrow(suspect.withColumnRenamed("key", "uid"), suspect.count()), "uid", "left_semi")
     best = rows.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "uid")).alias("best"), F.count("*").alias("n")).where("n > 1")
     ids = rows.select("doc_id").distinct()
@@ -149,7 +155,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     groups = texts.groupBy("norm").agg(F.count("*").alias("group_size")).where("group_size > 1")
     groups = groups.select(F.sha2("norm", 256).alias("text_sha256"), "group_size").join(best, "text_sha256")
     groups = groups.select("text_sha256", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.uid").alias("keep_uid"))
-    joined = base.join(groups, "text_sha256", "left")
+    joined = salted_join(base, checkpointed(groups), "text_sha256", total, "left", by="uid")
     alone = F.col("keep_uid").isNull()
     return joined.select(
         "doc_id",
@@ -161,7 +167,12 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that exact_dedup() keeps; rows that repeat both doc_id and text are kept once."""
+    """The rows of ``docs`` that exact_dedup() keeps: one for each text.
+
+    Null texts count as empty ones, which are equal; a null doc_id stays only if all rows of its text have one. Of rows
+    that repeat both doc_id and text the one of the smallest hash over all columns stays, so reruns agree. An empty
+    table gives an empty one. Columns called __key, __sha or __row must not be among those of ``docs``, nor maps.
+    """
     gone = checkpointed(exact_dedup(docs).where("not kept").groupBy("doc_id", "keep_id", "text_sha256").agg(F.lit(1).alias("one")))
     n = gone.count()
     others = gone.where("not doc_id <=> keep_id").select("doc_id", "text_sha256")
@@ -169,8 +180,10 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumns({"__key": F.col("doc_id").cast("long"), "__sha": F.sha2(normalised(F.col("text")), 256)})
     on = lambda side: F.col("__key").eqNullSafe(side["doc_id"]) & (F.col("__sha") == side["text_sha256"])
     left = keyed.join(narrow(others, 3 * n), on(others), "left_anti")
-    once = left.join(narrow(repeated, 3 * n), on(repeated), "left_semi").dropDuplicates(["__key", "__sha"])
-    return left.join(narrow(repeated, 3 * n), on(repeated), "left_anti").union(once).select(*docs.columns)
+    once = left.join(narrow(repeated, 3 * n), on(repeated), "left_semi")
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    once = once.select("__key", "__sha", row.alias("__row")).groupBy("__key", "__sha").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row")).select("__row.*")
+    return left.join(narrow(repeated, 3 * n), on(repeated), "left_anti").select(*docs.columns).union(once)
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
