@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
-from .session import checkpointed, narrow
+from .session import checkpointed, narrow, salted_join
 from .words import mix64, shingle_hashes, split_words, text_slices
 
 LANES = 128
@@ -33,7 +33,7 @@ WIDTH = 5
 LIKELY = 0.55
 #: Rows of a block of bucket members.
 OTHERS, MEMBERS = 128, 512
-SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig binary"
+SIGNED = "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, sig binary"
 
 
 def superminhash(elements: np.ndarray, offsets: np.ndarray, lanes: int = LANES) -> np.ndarray:
@@ -76,7 +76,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             step = LANES * 2
             ends = pa.py_buffer(np.arange(0, step * (len(offsets)), step, dtype=np.int32).tobytes())
             sig = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, ends, raw])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(h1), pa.array(h2), sig], ["doc_id", "n_shingles", "h1", "h2", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(np.diff(offsets)), pa.array(h1), pa.array(h2), sig], ["doc_id", "text_hash", "n_shingles", "h1", "h2", "sig"])
 
 
 def _lanes(column: pa.Array) -> np.ndarray:
@@ -197,22 +197,31 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batch):
             flat, offsets = shingle_hashes(split_words(part.column("text")), WIDTH)
             codes = [np.unique((flat[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4")).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(codes, pa.binary())], ["id", "codes"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(codes, pa.binary())], ["id", "codes"])
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string"))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """One row per document: shingle count, a 128-bit digest of the shingle set, and its signature in 16-bit lanes."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sign, SIGNED)
+    """One row per document: a hash of the text, shingle count, a 128-bit digest of the shingle set, and its signature in 16-bit lanes."""
+    return _texts(docs).mapInArrow(_sign, SIGNED)
+
 
+def _texts_of(ids: DataFrame, bound: int, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, text of at most ``bound`` classes ``ids`` (id, distinct): the text of the row that a class is named after."""
+    keys = classes.select("id", "doc_id", "text_hash").join(narrow(ids, bound), "id", "left_semi")
+    return _texts(docs).join(narrow(keys, bound), ["doc_id", "text_hash"]).groupBy("id").agg(F.min("text").alias("text"))
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The rows of ``pairs`` (u, v, distinct) whose texts' full shingle sets are similar enough."""
     ends = checkpointed(pairs)
-    ids = ends.select("u").union(ends.select("v")).distinct().withColumnRenamed("u", "doc_id")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    texts = texts.join(narrow(ids, 2 * ends.count()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    with_u = ends.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-    with_v = with_u.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
+    n = ends.count()
+    texts = checkpointed(_texts_of(ends.select(F.col("u").alias("id")).union(ends.select("v")).distinct(), 2 * n, classes, docs))
+    with_u = salted_join(ends, texts.toDF("u", "text_u"), "u", n, by="v")
+    with_v = salted_join(with_u, texts.toDF("v", "text_v"), "v", n, counted=ends, by="u")  # many rows may link to one
     return with_v.select("u", "v", "text_u", "text_v").mapInArrow(_confirm, "u long, v long")
 
 
@@ -238,13 +247,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Documents are linked when 100 * intersection >= 75 * union of their sets of distinct five-word shingles;
     with fewer words the whole sequence is the one shingle. Null and empty texts have no shingle and stay alone,
-    as do rows of null doc_id (component null, kept true). Rows that repeat a doc_id are reported as often as
-    given, and their texts are taken to be equal. Columns other than doc_id and text are ignored. An empty table
-    gives an empty result.
+    as do rows of null doc_id (component null, kept true). Every row is a document: rows that repeat a doc_id are reported
+    as often as given, each by its own text, and kept as often as theirs is the smallest doc_id of the component. Columns
+    other than doc_id and text are ignored. An empty table gives an empty result.
     """
-    signed = checkpointed(signatures(docs))
+    signed = checkpointed(signatures(docs).withColumn("uid", F.monotonically_increasing_id()))
     alive = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = checkpointed(alive.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig")))
+    # A class is named after one of its rows, of the smallest doc_id.
+    first = F.struct("doc_id", "text_hash", "uid")
+    classes = alive.groupBy("h1", "h2", "n_shingles").agg(F.min(first).alias("first"), F.min_by("sig", first).alias("sig"))
+    classes = checkpointed(classes.select("h1", "h2", "n_shingles", F.col("first.uid").alias("id"), "first.doc_id", "first.text_hash", "sig"))
     sigs = classes.select("id", F.col("n_shingles").alias("n"), "sig")
     # A bucket's low bits are its band.
     shift = BANDS.bit_length() - 1
@@ -258,7 +270,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return pairs.join(sig.toDF("u", "sig_u"), "u").join(sig.toDF("v", "sig_v"), "v").mapInArrow(_agree, "u long, v long")
 
     stars = members.where("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct()
-    links = checkpointed(_confirmed(likely(stars), docs))
+    links = checkpointed(_confirmed(likely(stars), classes, docs))
     labels = connected_components(links)
     labels = checkpointed(labels)
 
@@ -266,24 +278,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # signatures first, then the sets of those that may link.
     placed = members.where("size > 2").join(labels, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
     flagged = checkpointed(_blocks(placed, sigs).mapInArrow(_flag_rows, "bucket long, id long").distinct())
-    doubtful = flagged.select(F.col("id").alias("doc_id")).distinct()
-    sets = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(narrow(doubtful, flagged.count()), "doc_id", "left_semi").mapInArrow(_code, "id long, codes binary")
-    rest = _blocks(placed.join(flagged, ["bucket", "id"], "left_semi"), sigs.join(sets.dropDuplicates(["id"]), "id")).mapInArrow(_link_rows, "u long, v long").distinct()
-    more = checkpointed(_confirmed(rest, docs))
+    sets = _texts_of(flagged.select("id").distinct(), flagged.count(), classes, docs).mapInArrow(_code, "id long, codes binary")
+    rest = _blocks(placed.join(flagged, ["bucket", "id"], "left_semi"), sigs.join(sets, "id")).mapInArrow(_link_rows, "u long, v long").distinct()
+    more = checkpointed(_confirmed(rest, classes, docs))
     if not more.isEmpty():
         labels = connected_components(links.union(more))
 
-    of_class = classes.join(labels, F.col("id") == F.col("node"), "left").select("h1", "h2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    grouped = signed.join(of_class, ["h1", "h2", "n_shingles"], "left")
+    # Components are named after the smallest doc_id of their classes.
+    placed = classes.join(labels, F.col("id") == F.col("node"), "left").select("h1", "h2", "n_shingles", "doc_id", F.coalesce("component", "id").alias("component"))
+    named = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    key = F.struct("h1", "h2", "n_shingles").alias("class")
+    of_class = checkpointed(placed.join(named, "component").select(key, "component_id"))
+    grouped = salted_join(signed.select("uid", "doc_id", "n_shingles", key), of_class, "class", signed.count(), "left", by="uid")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return grouped.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that near_duplicates() keeps."""
-    gone = checkpointed(near_duplicates(docs).where("not kept").select("doc_id").distinct())
-    return docs.join(narrow(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that near_duplicates() keeps: of each group the document of the smallest doc_id.
+
+    Null and empty texts, and rows of null doc_id, stay. Rows that repeat a doc_id go or stay together, by whether one of
+    them is kept. An empty table gives an empty one; columns stay as they are, whatever they are called.
+    """
+    found = near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    gone = checkpointed(found.where("not kept").select(F.col("doc_id").alias("__gone")))
+    return docs.join(narrow(gone, gone.count()), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
 
 
 def op2_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -91,6 +91,21 @@ def test_near_duplicates_across_a_crowded_bucket(spark):
     assert got == want
 
 
+def test_rows_that_repeat_a_doc_id_are_documents_of_their_own(spark, monkeypatch):
+    """Two texts under one id are compared each by itself; a hot class and a hot head are joined in parts."""
+    from formloom.llm import session
+
+    monkeypatch.setattr(session, "HOT_ROWS", 4)
+    text = lambda k, n=40: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(1, text("a")), (1, text("b")), (2, text("a") + " tail"), (3, text("b") + " tail"), (4, text("c")), (None, text("a"))]
+    rows += [(100 + i, text("hot")) for i in range(30)] + [(200 + i, text("hot") + f" end{i}") for i in range(30)]
+    got = rows_of(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)))
+    want = Counter([(1, 36, 1), (1, 36, 1), (2, 37, 1), (3, 37, 1), (4, 36, 4), (None, 36, None)] + [(100 + i, 36, 100) for i in range(30)] + [(200 + i, 37, 100) for i in range(30)])
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+    left = rows_of(minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sorted(str(r["doc_id"]) for r in left) == ["1", "1", "100", "4", "None"]
+
+
 @pytest.mark.parametrize("one_task", [20_000, 0])
 def test_components_of_chains_and_stars(spark, monkeypatch, one_task):
     monkeypatch.setattr(components, "ONE_TASK", one_task)
@@ -142,6 +157,12 @@ def test_small_owners_and_chunks(docs, monkeypatch):
     assert sum(r["kept"] for r in got) == len({lower(r["text"]) for r in rows_of(docs)})
 
 
+def test_rows_alike_but_for_a_column_are_kept_the_same_way(spark):
+    rows = [(1, "Same", s) for s in "fedcba"] + [(2, None, "x"), (None, "", "y"), (3, "other", "z")]
+    runs = [sorted(map(str, exact.drop_exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n)).collect())) for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 3
+
+
 def test_mix_targets():
     sizes = {"b": 100, "a": 10, None: 50, "é": 1000}
     got = mixing.mix_targets(sizes)
