@@ -211,47 +211,67 @@ def test_sql_agrees(spark, name):
         assert all(x == y or (isinstance(x, float) and math.isclose(x, y)) for x, y in zip(a, b, strict=True))
 
 
-def test_lm_matches_brute_force(docs):
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_matches_brute_force(docs, order):
+    """All texts, long ones too, over few and many blocks and shards."""
     rows = [(r["doc_id"], word_list(r["text"])) for r in rows_of(docs)]
     train = lambda i: i is None or crc32(str(i).encode()) % 5 != 1
-    uni, bi = Counter(), defaultdict(Counter)
+    grams = lambda w, n: [tuple(x) for x in zip(*(["<s>", *w, None][k:] for k in range(n)))]
+    uni, of = Counter(), {n: Counter() for n in (2, 3)}
+    context = {n: Counter() for n in (2, 3)}
     for i, w in rows:
         if train(i):
             uni.update([*w, None])
-            for a, b in zip(["<s>", *w], [*w, None]):
-                bi[a][b] += 1
-    n, v = sum(uni.values()), len(uni)
-    p1 = lambda t: (uni[t] + 0.5) / (n + 0.5 * (v + 1))
-
-    def p2(a, b):
-        total = sum(bi[a].values()) if a in bi else 0
-        if not total:
-            return p1(b)
-        d = lm.DISCOUNT
-        return max(bi[a][b] - d, 0) / total + d * sum(c > 0 for c in bi[a].values()) / total * p1(b)
-
-    want = sorted((str(i), len(w) + 1, sum(uni[t] > 0 for t in [*w, None]), round(sum(math.log10(p1(t)) for t in [*w, None]), 4), round(sum(math.log10(p2(a, b)) for a, b in zip(["<s>", *w], [*w, None])), 4)) for i, w in rows if len(w) < 3000)
-    for sizes in ((4000, 9000), (1 << 23, 1 << 24)):
-        got = rows_of(lm.lm_scores(docs, *sizes))
-        assert {r["train_tokens"] for r in got} == {n}
+            for n in of:
+                of[n].update(grams(w, n))
+                context[n].update(g[:-1] for g in grams(w, n))
+    total, v = sum(uni.values()), len(uni)
+
+    def p(g):
+        if len(g) == 1:
+            return (uni[g[0]] + 0.5) / (total + 0.5 * (v + 1))
+        m = lm.PRIOR[len(g) - 1]
+        return (of[len(g)][g] + m * p(g[1:])) / (context[len(g)][g[:-1]] + m)
+
+    def score(w):
+        seq = ["<s>", *w, None]
+        return sum(math.log10(p(tuple(seq[max(0, k - order + 1) : k + 1]))) for k in range(1, len(seq)))
+
+    want = sorted((str(i), len(w) + 1, sum(uni[t] > 0 for t in [*w, None]), round(sum(math.log10(p((t,))) for t in [*w, None]), 4), round(score(w), 4)) for i, w in rows)
+    for sizes in ((4000, 500), (1 << 23, 1 << 24)):
+        got = rows_of(lm.lm_scores(docs, *sizes, order))
+        assert {r["train_tokens"] for r in got} == {total}
         assert all(r["held_out"] == (not train(r["doc_id"])) for r in got)
-        mine = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 4), round(r["score"], 4)) for r in got if r["n_tokens"] <= 3000)
-        assert len(mine) == len(want)
+        mine = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 4), round(r["score"], 4)) for r in got)
+        assert len(mine) == len(want) and max(x[1] for x in want) > 40_000
         for a, b in zip(mine, want):
             assert a[:3] == b[:3] and math.isclose(a[3], b[3], abs_tol=1e-3) and math.isclose(a[4], b[4], abs_tol=1e-3)
 
 
+def test_counts_beyond_a_byte_and_32_bits():
+    counts = np.array([0, 1, 254, 255, 256, 2**33, 7], np.int64)
+    assert (lm._long(*lm._short(counts)) == counts).all()
+
+
 def test_automaton_probabilities_sum_to_one():
-    """From any state, the arcs and the failure arc's share of the root make a distribution over words and the unknown."""
-    counts = {0: {0: 3, 1: 1}, 1: {2: 2}}
-    uni = np.array([4.0, 1, 2, 0.0])
-    n, v = uni.sum(), 3
-    root = np.log10((uni + 0.5) / (n + 0.5 * (v + 1)))
-    for state, arcs in counts.items():
-        total = sum(arcs.values())
-        left = lm.DISCOUNT * len(arcs) / total
-        p = [max(arcs.get(w, 0) - lm.DISCOUNT, 0) / total + left * 10 ** root[w] for w in range(4)]
-        assert math.isclose(sum(p), 1), state
+    """From any state, the arcs and what falls through the failure arcs make a distribution over words, the end and an unknown word."""
+    text = "a b a b c a b b a".split()
+    blocks = [lm.Block(pa.table({"text": [t], "held_out": [False]}), 3) for t in (" ".join(text),)]
+    block, names = blocks[0], {w: i for i, w in enumerate(sorted(set(text), key=lambda w: words.hash_strings(pa.array([w]))[0]))}
+    of = {n: block.counts[a:b] for n, (a, b) in enumerate(zip(block.bounds[:-1], block.bounds[1:]), 1)}
+    uni = {**{w: int(of[1][i]) for w, i in names.items()}, None: 1, "unseen": 0}
+    n, v = sum(uni.values()), 4
+    seq = [*text, None]
+    seen = lambda *g: sum(tuple(seq[i : i + len(g)]) == g for i in range(len(seq) - len(g) + 1))
+    assert n == 10 and {w: uni[w] for w in names} == Counter(text) and int(of[2].sum()) == 10 and int(of[3].sum()) == 9
+    p1 = {w: (c + 0.5) / (n + 0.5 * (v + 1)) for w, c in uni.items()}
+    assert math.isclose(sum(p1.values()), 1)
+    for x in names:
+        p2 = {w: (seen(x, w) + lm.PRIOR[1] * p1[w]) / (uni[x] + lm.PRIOR[1]) for w in uni}
+        assert math.isclose(sum(p2.values()), 1)
+        for y in names:
+            p3 = {w: (seen(y, x, w) + lm.PRIOR[2] * p2[w]) / (seen(y, x) + lm.PRIOR[2]) for w in uni}
+            assert math.isclose(sum(p3.values()), 1)
 
 
 def test_quality_learns(spark):
