@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -11,9 +12,22 @@ from pyspark.sql import Column, functions as F, types as T
 SPACE = r"(?U)\s+"
 
 
+@lru_cache(maxsize=1)
+def _unfolded() -> tuple[str, str]:
+    """Characters that upper and then lower case leave otherwise than full folding does, and what they fold to: one to one each."""
+    found = {"ς": "σ"}  # lower case writes it at a word's end
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x20000)]):
+        cased = c.upper().lower()
+        if cased != c.casefold() and len(cased) == len(c.casefold()):
+            found.update((x, y) for x, y in zip(cased, c.casefold(), strict=True) if x != y and not x.isascii())
+    return "".join(found), "".join(found.values())
+
+
 def casefold(v: Column) -> Column:
-    """Lower case with sharp s folded; other full foldings are left to the caller."""
-    return F.replace(F.lower(v), F.lit("ß"), F.lit("ss"))
+    """Full Unicode case folding. Upper and then lower case does most of it; ASCII texts need lower case alone."""
+    # Something must stand between both cases, or the optimizer drops the inner one.
+    cased = F.lower(F.replace(F.upper(v), F.lit("\u1e9e"), F.lit("SS")))
+    return F.when(v.rlike(r"^[\x00-\x7F]*\z"), F.lower(v)).otherwise(F.translate(cased, *_unfolded()))
 
 
 def canonical_text(v: Column) -> Column:
@@ -28,8 +42,15 @@ def word_tokens(v: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity; not symmetric, as its inputs have roles."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
+    """Ratcliff-Obershelp similarity; not symmetric, as its inputs have roles. What it notes of a ``b`` serves all rows that share it."""
+    out = pd.Series([None] * len(a), dtype="float64")
+    for y, rows in a.groupby(b, sort=False):
+        matcher = SequenceMatcher(None, "", y)
+        for at, x in rows.items():
+            if x is not None:
+                matcher.set_seq1(x)
+                out[at] = matcher.ratio()
+    return out
 
 
 def direct_alias_score(n: Column, t: Column) -> Column:
@@ -39,8 +60,9 @@ def direct_alias_score(n: Column, t: Column) -> Column:
 
 
 def ratio_bound(n: Column, t: Column) -> Column:
-    """An upper bound of the ratio by lengths alone, so that hopeless pairs skip the Python function."""
-    return 2.0 * F.least(F.length(n), F.length(t)) / F.greatest(F.length(n) + F.length(t), F.lit(1))
+    """An upper bound of the ratio, so that hopeless pairs skip the Python function: characters that the other text has at all can match."""
+    common = lambda x, y: F.length(x) - F.length(F.call_function("translate", x, y, F.lit("")))
+    return 2.0 * F.least(common(n, t), common(t, n)) / F.greatest(F.length(n) + F.length(t), F.lit(1))
 
 
 def group_alias_score(n: Column, t: Column) -> Column:

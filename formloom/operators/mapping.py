@@ -13,7 +13,7 @@ from ..functions.geometry import Box
 from ..functions.hashing import json_literal
 from ..functions.normalize import normalize_value
 from ..functions.text import canonical_text, direct_alias_score, group_alias_score, ratio_bound, same_line_suffix, seq_ratio, value_part
-from ..stages import staged
+from ..stages import small, staged
 
 KEY = ("job_id", "page")
 #: What candidates of the control detector are called.
@@ -26,7 +26,7 @@ def alias_scores(texts: DataFrame, aliases: DataFrame, least: float, ratio: bool
 
     ``texts`` has one column ``canon``; ``aliases`` is a blueprint's table, which the configuration bounds, so that it may be
     broadcast. ``plain`` leaves out that a group label may be a prefix. The ratio is computed only for pairs
-    that neither match nor contain each other and whose lengths allow the score.
+    that neither match nor contain each other and whose lengths and characters allow the score.
     """
     table = aliases.select("path", "kind", canonical_text(F.col("alias")).alias("target")).where("target <> ''").distinct()
     pairs = texts.where("canon is not null").distinct().join(F.broadcast(table))
@@ -49,9 +49,12 @@ def label_scores(spans: DataFrame, aliases: DataFrame, ratio: bool = True) -> Da
 
 
 def label_hits(spans: DataFrame, scores: DataFrame) -> DataFrame:
-    """Spans that are labels of a path: all span columns with path, kind and match."""
+    """Spans that are labels of a path: all span columns with path, kind and match.
+
+    A few label texts may be half of all spans, and they are few as a rule: spans stay where they are unless there are many.
+    """
     good = scores.where(F.col("score") >= F.when(F.col("kind") == "group", GROUP_MATCH).otherwise(FIELD_MATCH))
-    return with_canon(spans).join(good.select("canon", "path", "kind", F.col("score").alias("match")), "canon").drop("canon")
+    return with_canon(spans).join(small(good.select("canon", "path", "kind", F.col("score").alias("match"))), "canon").drop("canon")
 
 
 def neighbours(labels: DataFrame, spans: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -94,7 +97,7 @@ def text_rows(spans: DataFrame, paths: DataFrame, aliases: DataFrame, date_order
     """Field candidates of labels on the same line, to the right and below, with their ``place``; may repeat."""
     fields = paths.where("not checkbox")
     if only_paths is not None:
-        fields = fields.join(F.broadcast(only_paths.select("path").distinct()), "path", "left_semi")
+        fields = fields.join(small(only_paths.select("path").distinct()), "path", "left_semi")
     spec = F.broadcast(fields.select("path", F.col("ord").alias("path_ord"), "type", "part", "strategies"))
     scores = label_scores(spans, aliases, ratio)
     hits = staged(label_hits(spans, scores).join(spec, "path"))
@@ -110,7 +113,7 @@ def text_rows(spans: DataFrame, paths: DataFrame, aliases: DataFrame, date_order
     keys = ("path", "path_ord", "type", "part", "kind", "match", "strategies")
     near = neighbours(hits, spans, keys).where(F.array_contains("strategies", F.col("strategy")))
     near = with_canon(top_neighbours(near, ("path", "kind")).withColumn("text", F.col("v_text")))
-    near = near.join(label_like(scores), "canon", "left_anti").withColumn("raw", value_part(F.col("v_text"), part)).where("raw is not null")
+    near = near.join(small(label_like(scores)), "canon", "left_anti").withColumn("raw", value_part(F.col("v_text"), part)).where("raw is not null")
     near = near.select(
         *KEY, "path", "path_ord", "type", "kind", "l_seq", "rank", "raw", F.array("l_id", "v_id").alias("evidence_ids"), F.concat(F.lit("rule_"), prefix, F.col("strategy")).alias("source"),
         F.array_distinct(F.array("l_source", "v_source")).alias("support_sources"), F.least("l_confidence", "v_confidence").alias("recognition"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("match") * F.col("geometry"))).alias("association"),
@@ -187,7 +190,7 @@ def control_rows(associated: DataFrame, spans: DataFrame, paths: DataFrame, alia
     """Boolean candidates of controls, for every option that their label resembles; an ambiguous state has no value."""
     options = aliases.where("kind = 'option'")
     labels = with_canon(spans).select(*KEY, F.col("id").alias("label_id"), "canon", F.col("confidence").alias("label_confidence"), F.col("source").alias("label_source"))
-    scores = alias_scores(labels.select("canon"), options, OPTION_MATCH, ratio)
+    scores = small(staged(alias_scores(labels.select("canon"), options, OPTION_MATCH, ratio)))
     spec = F.broadcast(paths.select("path", F.col("ord").alias("path_ord")))
     rows = associated.join(labels, [*KEY, "label_id"]).join(scores, "canon").join(spec, "path")
     value = F.when(F.col("state") == "checked", "true").when(F.col("state") == "unchecked", "false")
@@ -211,7 +214,7 @@ def request_controls(associated: DataFrame, spans: DataFrame, aliases: DataFrame
     Ranked by match and certainty of state, then in reading order; columns of ``associated`` with ``rank``.
     """
     labels = with_canon(spans).select(*KEY, F.col("id").alias("label_id"), "canon")
-    scores = alias_scores(labels.select("canon"), aliases.where("kind = 'option'"), OPTION_MATCH, ratio)
+    scores = small(staged(alias_scores(labels.select("canon"), aliases.where("kind = 'option'"), OPTION_MATCH, ratio)))
     wanted = labels.join(scores, "canon").join(targets.select("job_id", "path").distinct(), ["job_id", "path"], "left_semi").groupBy(*KEY, "label_id").agg(F.max("score").alias("match"))
     rows = associated.join(wanted, [*KEY, "label_id"]).withColumn("worth", 0.75 * F.col("match") + 0.25 * F.col("state_confidence"))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("worth"), "y1", "x1")))
@@ -224,7 +227,7 @@ def rule_candidates(spans: DataFrame, controls: DataFrame, paths: DataFrame, ali
     text = text_rows(spans, paths, aliases, **options)
     boxes = control_rows(associate_controls(controls, spans), spans, paths, aliases, attempt, ratio)
     if options.get("only_paths") is not None:
-        boxes = boxes.join(F.broadcast(options["only_paths"].select("path").distinct()), "path", "left_semi")
+        boxes = boxes.join(small(options["only_paths"].select("path").distinct()), "path", "left_semi")
     return staged(settled(text.unionByName(boxes)))
 
 

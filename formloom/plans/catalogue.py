@@ -11,7 +11,7 @@ from ..functions.geometry import Box
 from ..operators import audit, decide, grounding, mapping, readiness, regions
 from ..sources import evidence, providers
 from .blueprint import Blueprint
-from .forms import BLUEPRINT, forms, staged_forms
+from .forms import BLUEPRINT, forms, staged_forms, staged_spans
 from .oracle import _AREA, canon, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,15 +41,15 @@ def _paths(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 
 def _candidates(spark: SparkSession, sf_dir: str, ratio: bool = True) -> DataFrame:
-    spans, _, controls = staged_forms(spark, sf_dir)
-    return mapping.rule_candidates(spans, controls, *_paths(spark), date_order="DMY", ratio=ratio)
+    controls = forms(spark, sf_dir)[2]
+    return mapping.rule_candidates(staged_spans(spark, sf_dir), controls, *_paths(spark), date_order="DMY", ratio=ratio)
 
 
 def _decisions(spark: SparkSession, sf_dir: str, attempt: int = 1) -> DataFrame:
     """The minimum slice: forms mapped, normalised, validated and decided, at the last attempt unless told otherwise."""
     paths, _ = _paths(spark)
-    spans, _, _ = forms(spark, sf_dir)
-    jobs = spans.select("job_id").distinct().withColumn("image_quality", F.lit(0.95))
+    jobs = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    jobs = jobs.select(F.col("o_orderkey").cast("string").alias("job_id")).distinct().withColumn("image_quality", F.lit(0.95))
     return decide.decide(decide.validated(_candidates(spark, sf_dir), paths), jobs, paths, 0.90, attempt, 1)
 
 
@@ -124,7 +124,7 @@ _NEAR = "job_id, path, l_id, v_id, round(geometry, 6) AS geometry"
 
 
 def _hits(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    spans = forms(spark, sf_dir)[0]
+    spans = staged_spans(spark, sf_dir)
     return mapping.label_hits(spans, mapping.label_scores(spans, _paths(spark)[1])), spans
 
 

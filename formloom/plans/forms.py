@@ -18,27 +18,28 @@ FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey
 """
 LABELS = "SELECT 0 AS i, 'Serial number' AS label UNION ALL SELECT 1, 'First name' UNION ALL SELECT 2, 'Collection date' UNION ALL SELECT 3, 'Birth weight' UNION ALL SELECT 4, 'Date of birth'"
 ENGINES = "SELECT 0 AS e, 'ocr-a' AS source, '' AS mark UNION ALL SELECT 1, 'engine-b', 'b'"
+#: What a form shows: five labels and their values by each engine, and the labels of two boxes.
+PARTS = f"""
+SELECT p, i, label, e, source, mark FROM ({LABELS}) l CROSS JOIN ({ENGINES}) n CROSS JOIN (SELECT 'l' AS p UNION ALL SELECT 'v') k
+UNION ALL SELECT 'm', 0, 'Masculino', 0, 'ocr-a', '' UNION ALL SELECT 'f', 0, 'Feminino', 0, 'ocr-a', ''
+"""
 VALUES = f"""
-SELECT k, i, label, e, source, mark, 40 + 60 * i + 400 * e AS top,
-  CASE i WHEN 0 THEN 'SN-' || CAST(k AS STRING) WHEN 1 THEN c_name
+SELECT k, p, i, label, e, source, mark, 40 + 60 * i + 400 * e AS top, 40 + 10 * length(label) + 20 + 10 * (k % 8) AS beside,
+  CASE WHEN p <> 'v' THEN label ELSE CASE i WHEN 0 THEN 'SN-' || CAST(k AS STRING) WHEN 1 THEN c_name
     WHEN 2 THEN CASE k % 4 WHEN 0 THEN CAST(d AS STRING)
       WHEN 1 THEN lpad(CAST(day(d) AS STRING), 2, '0') || '/' || lpad(CAST(month(d) AS STRING), 2, '0') || '/' || CAST(year(d) AS STRING)
       WHEN 2 THEN lpad(CAST(day(d) AS STRING), 2, '0') || lpad(CAST(month(d) AS STRING), 2, '0') || CAST(year(d) AS STRING)
       ELSE '31/02/' || CAST(year(d) AS STRING) END
     WHEN 3 THEN CAST(grams AS STRING) || ' g' ELSE CAST(d + CAST(k % 11 - 8 AS INT) AS STRING) END
-  || CASE WHEN e = 1 AND k % 15 = 0 AND i < 2 THEN 'X' ELSE '' END AS val
-FROM ({BASE}) b CROSS JOIN ({LABELS}) l CROSS JOIN ({ENGINES}) n WHERE e = 0 OR k % 3 = 0
+  || CASE WHEN e = 1 AND k % 15 = 0 AND i < 2 THEN 'X' ELSE '' END END AS val
+FROM ({BASE}) b CROSS JOIN ({PARTS}) l WHERE e = 0 OR k % 3 = 0
 """
 SPANS = f"""
-SELECT CAST(k AS STRING) AS job_id, 1 AS page, CAST(e * 20 + 2 * i AS BIGINT) AS seq, mark || 'l' || CAST(i AS STRING) AS id, label AS text, CAST(99 AS DOUBLE) / 100 AS confidence,
-  40 AS x1, CAST(top AS INT) AS y1, CAST(40 + 10 * length(label) AS INT) AS x2, CAST(top + 30 AS INT) AS y2, source FROM ({VALUES}) v
-UNION ALL
-SELECT CAST(k AS STRING), 1, CAST(e * 20 + 2 * i + 1 AS BIGINT), mark || 'v' || CAST(i AS STRING), val, CAST(80 + (k * 7 + i * 3) % 20 AS DOUBLE) / 100,
-  CAST(40 + 10 * length(label) + 20 + 10 * (k % 8) AS INT), CAST(top AS INT), CAST(40 + 10 * length(label) + 20 + 10 * (k % 8) + 8 * length(val) AS INT), CAST(top + 30 AS INT), source FROM ({VALUES}) v
-UNION ALL
-SELECT CAST(k AS STRING), 1, CAST(40 AS BIGINT), 'lm', 'Masculino', CAST(99 AS DOUBLE) / 100, 80, 850, 170, 878, 'ocr-a' FROM ({BASE}) b
-UNION ALL
-SELECT CAST(k AS STRING), 1, CAST(41 AS BIGINT), 'lf', 'Feminino', CAST(99 AS DOUBLE) / 100, 280, 850, 360, 878, 'ocr-a' FROM ({BASE}) b
+SELECT CAST(k AS STRING) AS job_id, 1 AS page, CAST(CASE p WHEN 'l' THEN e * 20 + 2 * i WHEN 'v' THEN e * 20 + 2 * i + 1 WHEN 'm' THEN 40 ELSE 41 END AS BIGINT) AS seq,
+  CASE WHEN p IN ('l', 'v') THEN mark || p || CAST(i AS STRING) ELSE 'l' || p END AS id, val AS text, CASE p WHEN 'v' THEN CAST(80 + (k * 7 + i * 3) % 20 AS DOUBLE) / 100 ELSE CAST(99 AS DOUBLE) / 100 END AS confidence,
+  CAST(CASE p WHEN 'l' THEN 40 WHEN 'v' THEN beside WHEN 'm' THEN 80 ELSE 280 END AS INT) AS x1, CAST(CASE WHEN p IN ('l', 'v') THEN top ELSE 850 END AS INT) AS y1,
+  CAST(CASE p WHEN 'l' THEN 40 + 10 * length(label) WHEN 'v' THEN beside + 8 * length(val) WHEN 'm' THEN 170 ELSE 360 END AS INT) AS x2, CAST(CASE WHEN p IN ('l', 'v') THEN top + 30 ELSE 878 END AS INT) AS y2, source
+FROM ({VALUES}) v
 """
 CONTROLS = f"""
 SELECT CAST(k AS STRING) AS job_id, 1 AS page, CAST(0 AS BIGINT) AS seq, 'c0' AS id, 'checkbox' AS kind, CASE s WHEN 'F' THEN 'checked' WHEN 'O' THEN 'unchecked' ELSE 'ambiguous' END AS state,
@@ -75,6 +76,9 @@ def portable(sql: str) -> str:
 
 def form_table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     orders, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
+    # An order becomes dozens of rows: deal orders out first, whether they come from few files or many.
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    orders = orders.repartition(parts, "o_orderkey")
     return spark.sql(sql.replace('"order"', "`order`"), orders=orders, customer=customer)
 
 
@@ -83,6 +87,10 @@ def forms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     return form_table(spark, sf_dir, SPANS), form_table(spark, sf_dir, BLOCKS), form_table(spark, sf_dir, CONTROLS)
 
 
+def staged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(form_table(spark, sf_dir, SPANS))
+
+
 def staged_forms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The same for plans that read them many times: the projection is computed once, as a recogniser's output would be."""
     return tuple(staged(t) for t in forms(spark, sf_dir))

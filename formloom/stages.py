@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+#: Rows of a table that may be broadcast, when each is a few hundred bytes at most.
+SMALL_ROWS = 100_000
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -19,3 +22,8 @@ def staged(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="formloom-"))
     return df.checkpoint()
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, which are counted; else as it is, and joins shuffle."""
+    return F.broadcast(df) if len(df.select(F.lit(1)).limit(rows + 1).groupBy().count().where(F.col("count") <= rows).take(1)) else df

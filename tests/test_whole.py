@@ -39,7 +39,7 @@ LABELS = ["Serial number", "First name", "Collection date", "Birth weight", "Dat
 def few_forms(spark, folder):
     spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey < 12").write.parquet(f"{folder}/orders.parquet")
     spark.read.parquet(f"{SF}/customer.parquet").write.parquet(f"{folder}/customer.parquet")
-    rows = form_table(spark, str(folder), VALUES).where("e = 0").collect()
+    rows = form_table(spark, str(folder), VALUES).where("e = 0 and p = 'v'").collect()
     return {str(k): {r["i"]: r["val"] for r in rows if r["k"] == k} for k in {r["k"] for r in rows}}
 
 
