@@ -114,6 +114,17 @@ def label_colour(label: Column) -> Column:
     return F.conv(F.substring(F.sha2(label, 256), 1, 2), 16, 10).cast("int") % 10
 
 
+def squeezed_error(message: Column, most: int = 240) -> Column:
+    """A message on one line, cut to ``most`` characters."""
+    return F.left(squeezed(message), F.lit(most))
+
+
+def camel(name: Column) -> Column:
+    """snake_case as camelCase."""
+    parts = F.split(name, "_")
+    return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.substr(x, F.lit(2)))), ""))
+
+
 def to_camel(name: str) -> str:
     head, *tail = name.split("_")
     return head + "".join(x[:1].upper() + x[1:] for x in tail)

@@ -46,6 +46,11 @@ def total_timing(steps: DataFrame) -> DataFrame:
     return last.groupBy("job_id").agg(F.sum("ms").alias("total_ms"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("node", "ms")))).alias("timings"))
 
 
+def stage_mean(rows: DataFrame, value: str, by: tuple[str, ...] = ("job_id",)) -> DataFrame:
+    """The mean of a stage's values for each job; 0 where there is none."""
+    return rows.groupBy(*by).agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"))
+
+
 def label_counts(blocks: DataFrame) -> DataFrame:
     counts = blocks.groupBy("job_id", "label").agg(F.count("*").alias("n"))
     return counts.groupBy("job_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("label_counts"), F.sum("n").alias("blocks"))

@@ -101,6 +101,15 @@ def planned_actions(recommendations: Column) -> Column:
     return F.slice(F.filter(recommendations, lambda a: a.isin(*ACTIONS)), 1, 3)
 
 
+def variant_rows(rows: DataFrame, most: int = 3) -> DataFrame:
+    """plan_variants() of every row of ``rows`` (job_id, suggested, recommendations): job_id, variant (from 0), actions."""
+    wanted = F.array_union("suggested", planned_actions(F.col("recommendations")))
+    ordered = F.filter(F.array(*[F.lit(a) for a in PAGE_ORDER]), lambda a: F.array_contains(wanted, a))
+    alone = F.transform(ordered, lambda a: F.when(a == "illumination_normalization", F.array(a, F.lit("clahe"))).otherwise(F.array(a)))
+    variants = F.when(F.size(ordered) > 1, F.array_prepend(alone, F.slice(ordered, 1, 3))).otherwise(alone)
+    return rows.select("job_id", F.posexplode(F.slice(F.array_distinct(variants), 1, most)).alias("variant", "actions"))
+
+
 def plan_variants(suggested: list[str], recommendations: list[str], most: int = 3) -> list[list[str]]:
     """Pages to try: all safe actions together, then one by one; illumination is followed by contrast."""
     wanted = [a for a in dict.fromkeys([*suggested, *[a for a in recommendations if a in ACTIONS][:3]]) if a in PAGE_ORDER]

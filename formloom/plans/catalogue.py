@@ -10,9 +10,10 @@ from ..functions import geometry, hashing, image, normalize, text
 from ..functions.geometry import Box
 from ..operators import audit, decide, grounding, mapping, readiness, regions
 from ..sources import evidence, providers
+from ..stages import small, staged
 from .blueprint import Blueprint
 from .forms import BLUEPRINT, forms, staged_forms, staged_spans
-from .oracle import _AREA, canon, sql
+from .oracle import _AREA, STEPS, canon, ratio, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,13 +21,13 @@ ORACLES: dict[str, str] = {}
 _BP = Blueprint.from_dict(BLUEPRINT)
 
 
-def query(oracle: str | None = None):
-    """Register a query under its function's name; ``oracle`` is its DuckDB select over the oracle's steps."""
+def query(oracle: str | None = None, steps: dict[str, str] | None = None):
+    """Register a query under its function's name; ``oracle`` is its DuckDB select over the oracle's steps and its own."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if oracle is not None:
-            ORACLES[f.__name__] = sql(oracle)
+            ORACLES[f.__name__] = sql(oracle, steps)
         return f
 
     return add
@@ -74,47 +75,60 @@ def alias_exact_contains(spark, sf_dir):
     return found.select("canon", "path", "kind", F.round("score", 6).alias("score"))
 
 
-@query()
+_NAMED = f"SELECT DISTINCT c AS canon, path, {canon('alias')} AS t FROM (SELECT {canon('c_mktsegment')} AS c FROM customer UNION SELECT {canon('text')} FROM spans WHERE id LIKE 'l%'), al WHERE kind = 'field'"
+
+
+@query(
+    "SELECT canon, path, 'field' AS kind, max(s) AS score, max(s) AS plain FROM (SELECT canon, path, CASE WHEN canon = d.t THEN 1.0::DOUBLE WHEN contains(canon, d.t) THEN least(0.98::DOUBLE, length(d.t) / length(canon)::DOUBLE + 0.35::DOUBLE) ELSE ratio END AS s FROM named d LEFT JOIN rt ON d.canon = rt.n AND d.t = rt.t) WHERE s >= 0.3::DOUBLE GROUP BY canon, path",
+    {"named": _NAMED, **ratio("SELECT DISTINCT canon AS n, t FROM named WHERE canon <> '' AND NOT contains(canon, t)")},
+)
 def alias_ratio(spark, sf_dir):
     """Similarity of the customers' market segments and the labels, with the ratio."""
     texts = _table(spark, sf_dir, "customer").select(text.canonical_text(F.col("c_mktsegment")).alias("canon")).union(forms(spark, sf_dir)[0].where("id like 'l%'").select(text.canonical_text(F.col("text"))))
     return mapping.alias_scores(texts, _paths(spark)[1].where("kind = 'field'"), 0.3)
 
 
-@query("SELECT doc_id, CASE WHEN len(w) > 0 THEN w[1] END AS first_token, nullif(array_to_string(w[2:], ' '), '') AS remaining FROM (SELECT doc_id, list_filter(regexp_split_to_array(trim(substr(text, 1, 200), ' '), '[\\s\\x{A0}]+'), lambda x: x <> '') AS w FROM documents)")
+@query("SELECT doc_id, CASE WHEN len(w) > 0 THEN w[1] END AS first_token, nullif(array_to_string(w[2:], ' '), '') AS remaining FROM (SELECT doc_id, list_filter(regexp_split_to_array(trim(text, ' '), '[\\s\\x{A0}]+'), lambda x: x <> '') AS w FROM documents)")
 def value_part(spark, sf_dir):
-    """Both parts of whole documents. The SQL cuts at 200 characters and differs where a text is longer."""
+    """Both parts of whole documents."""
     v = F.col("text")
     return _table(spark, sf_dir, "documents").select("doc_id", text.value_part(v, F.lit("first_token")).alias("first_token"), text.value_part(v, F.lit("remaining_tokens")).alias("remaining"))
 
 
-@query("SELECT o_orderkey, nullif(regexp_replace(substr('Serial number: ' || o_orderpriority, 14), '^[ :\\-–—\\t]+', ''), '') AS suffix FROM orders")
+_LINE = "CASE o_orderkey % 6 WHEN 0 THEN 'Serial number: ' || o_orderpriority WHEN 1 THEN 'SERIAL NO - ' || o_orderstatus WHEN 2 THEN 'the serial' WHEN 3 THEN o_orderpriority WHEN 4 THEN 'serial number serial no: ' || o_orderstatus ELSE 'x serial ' || o_orderpriority END"
+_AFTER = ", ".join(f"CASE WHEN strpos(lower(line), '{a}') > 0 THEN regexp_replace(substr(line, strpos(lower(line), '{a}') + {len(a)}), '^[ :\\-–—\\t]+', '') END" for a in ("serial number", "serial no", "serial"))
+
+
+@query(f"SELECT o_orderkey, list_filter([{_AFTER}], lambda x: length(x) > 0)[1] AS suffix FROM (SELECT o_orderkey, {_LINE} AS line FROM orders)")
 def same_line_suffix(spark, sf_dir):
-    line = F.concat(F.lit("Serial number: "), F.col("o_orderpriority"))
+    """Lines with a label at their start, inside, twice, at their end, or without one."""
+    line = F.expr(_LINE)
     aliases = F.array(F.lit("serial number"), F.lit("serial no"), F.lit("serial"))
     return _table(spark, sf_dir, "orders").select("o_orderkey", text.same_line_suffix(line, aliases).alias("suffix"))
 
 
-@query("SELECT doc_id, item_id FROM (SELECT doc_id, " + canon("text") + " AS d FROM documents) x, (SELECT item_id, " + canon("substr(text, 1, 120)") + " AS b FROM benchmark) y WHERE length(b) > 0 AND contains(d, b)")
+@query("SELECT doc_id, item_id FROM (SELECT doc_id, " + canon("text") + " AS d FROM documents) x, (SELECT item_id, " + canon("text") + " AS b FROM benchmark) y WHERE length(b) > 0 AND contains(d, b)")
 def benchmark_support(spark, sf_dir):
     """Documents that contain a whole benchmark passage, by the containment arm of text support.
 
     A passage may start or end inside a word, so the words between its first and last (four at most) lead to it: a
     document meets the passages whose inner words it has. Passages of one or two words have none and are looked for in
-    every document. The SQL compares the first 120 characters only and differs where a document holds no more of a passage.
+    every document.
     """
     items = _table(spark, sf_dir, "benchmark").select("item_id", text.canonical_text(F.col("text")).alias("b")).where("b <> ''")
     docs = _table(spark, sf_dir, "documents").select("doc_id", text.canonical_text(F.col("text")).alias("d"))
     key = items.withColumn("w", F.split("b", " ")).withColumn("n", F.least(F.size("w") - 2, F.lit(4)))
-    inner = key.where("n > 0").select("item_id", "b", "n", F.array_join(F.expr("slice(w, 2, n)"), " ").alias("g"))
-    few = items.count() < 50_000
-    held = docs.crossJoin(F.broadcast(key.where("n <= 0").select("item_id", "b"))).where(F.contains("d", F.col("b"))).select("doc_id", "item_id")
+    inner = staged(key.where("n > 0").select("item_id", "b", "n", F.array_join(F.expr("slice(w, 2, n)"), " ").alias("g")))
+    held = docs.crossJoin(small(key.where("n <= 0").select("item_id", "b"))).where(F.contains("d", F.col("b"))).select("doc_id", "item_id")
     for (n,) in inner.select("n").distinct().collect():
+        own = inner.where(F.col("n") == n)
+        few = small(own.select("g").distinct())
         starts = F.expr(f"transform(sequence(0, greatest(size(w) - {n}, 0)), i -> array_join(slice(w, i + 1, {n}), ' '))")
-        grams = docs.withColumn("w", F.split("d", " ")).select("doc_id", F.explode(F.array_distinct(starts)).alias("g"))
-        own = inner.where(F.col("n") == n).select("g", "item_id", "b")
-        near = grams.join(F.broadcast(own) if few else own, "g")
-        held = held.union(near.join(docs, "doc_id").where(F.contains("d", F.col("b"))).select("doc_id", "item_id"))
+        # Keys are met inside the scan; only what a document has of them goes on.
+        met = docs.withColumn("w", F.split("d", " ")).select("doc_id", F.explode(F.array_distinct(starts)).alias("g")).join(few, "g", "left_semi")
+        pairs = staged(met.join(small(own.select("g", "item_id")), "g").select("doc_id", "item_id").distinct())
+        near = docs.join(small(pairs), "doc_id").join(small(own.select("item_id", "b")), "item_id")
+        held = held.union(near.where(F.contains("d", F.col("b"))).select("doc_id", "item_id"))
     return held.distinct()
 
 
@@ -155,10 +169,21 @@ def control_association(spark, sf_dir):
     return mapping.associate_controls(controls, spans).select("job_id", "id", "label_id")
 
 
-@query("SELECT job_id, id, label_id FROM assoc")
+_TWO = {
+    "moved": "SELECT * REPLACE (CASE WHEN job_id::BIGINT % 2 = 0 THEN x1 ELSE x1 + 160 END AS x1, CASE WHEN job_id::BIGINT % 2 = 0 THEN x2 ELSE x2 + 160 END AS x2) FROM controls",
+    "sides": """SELECT c.job_id, c.id AS c_id, s.id AS s_id, s.seq, c.x2 - c.x1 AS w, s.x1 - c.x2 AS on_right, c.x1 - s.x2 AS on_left, abs((c.y1 + c.y2) / 2.0::DOUBLE - (s.y1 + s.y2) / 2.0::DOUBLE) AS dy
+        FROM moved c JOIN spans s ON c.job_id = s.job_id AND c.page = s.page WHERE trim(s.text) <> '' AND abs((c.y1 + c.y2) / 2.0::DOUBLE - (s.y1 + s.y2) / 2.0::DOUBLE) <= 0.85::DOUBLE * greatest(c.y2 - c.y1, s.y2 - s.y1)""",
+    "costs": "SELECT *, CASE WHEN on_right >= -0.25::DOUBLE * w THEN greatest(0, on_right) WHEN on_left >= 0 THEN on_left END AS reach, CASE WHEN on_right >= -0.25::DOUBLE * w THEN 0.0 ELSE 2.0 * w END AS penalty FROM sides",
+    "picked": "SELECT job_id, c_id, s_id, row_number() OVER (PARTITION BY job_id, c_id ORDER BY reach + 2.0 * dy + penalty, seq) AS r FROM costs WHERE reach <= 14.0 * w",
+}
+
+
+@query("SELECT m.job_id, m.id, p.s_id AS label_id FROM moved m LEFT JOIN picked p ON p.job_id = m.job_id AND p.c_id = m.id AND p.r = 1", _TWO)
 def control_association_two_sided(spark, sf_dir):
-    """On these forms labels stand to the right only, so that both variants agree."""
+    """Every second form has its boxes moved to the right, so that labels stand on either side."""
     spans, _, controls = forms(spark, sf_dir)
+    by = F.when(F.col("job_id").cast("long") % 2 == 0, 0).otherwise(160)
+    controls = controls.withColumns({"x1": F.col("x1") + by, "x2": F.col("x2") + by})
     return mapping.associate_two_sided(controls, spans).select("job_id", "id", "label_id")
 
 
@@ -169,11 +194,15 @@ def control_candidates(spark, sf_dir):
     return found.select("job_id", "path", "raw", "value", F.array_join("evidence_ids", ",").alias("evidence"), F.round("association", 6).alias("association"), "recognition")
 
 
-@query("SELECT a.job_id, a.id, row_number() OVER (PARTITION BY a.job_id ORDER BY a.y1, a.x1) AS rank FROM assoc a")
+@query("""SELECT job_id, id, row_number() OVER (PARTITION BY job_id ORDER BY 0.75 * score + 0.25 * sure DESC, y1, x1) AS rank FROM (
+    SELECT a.job_id, a.id, a.y1, a.x1, CASE WHEN a.id = 'c0' THEN a.state_confidence ELSE 0.5 + (a.job_id::BIGINT % 7) / 10.0::DOUBLE END AS sure, max(sc.score) AS score FROM assoc a JOIN spans s ON s.job_id = a.job_id AND s.id = a.label_id
+    JOIN sc ON sc.canon = """ + canon("s.text") + """ AND sc.kind = 'option' AND sc.score >= 0.76 WHERE sc.path = 'data.baby.male' OR (sc.path = 'data.baby.female' AND a.job_id::BIGINT % 3 > 0) GROUP BY ALL)""")
 def request_controls(spark, sf_dir):
-    """Controls to show when both sexes are asked for: labels match alike, so in reading order."""
+    """Controls to show when one sex or both are asked for, by match and by certainty of state."""
     spans, _, controls = forms(spark, sf_dir)
-    asked = spans.select("job_id").distinct().withColumn("path", F.explode(F.array(F.lit("data.baby.male"), F.lit("data.baby.female"))))
+    k = F.col("job_id").cast("long")
+    controls = controls.withColumn("state_confidence", F.when(F.col("id") == "c0", F.col("state_confidence")).otherwise(0.5 + (k % 7) / 10.0))
+    asked = spans.select("job_id").distinct().withColumn("path", F.explode(F.when(k % 3 > 0, F.array(F.lit("data.baby.male"), F.lit("data.baby.female"))).otherwise(F.array(F.lit("data.baby.male")))))
     found = mapping.request_controls(mapping.associate_controls(controls, spans), spans, _paths(spark)[1], asked)
     return found.select("job_id", "id", F.col("rank").cast("long").alias("rank"))
 
@@ -249,16 +278,55 @@ def label_fragments(spark, sf_dir):
     return regions.label_fragments(forms(spark, sf_dir)[0]).select("job_id", F.col("start").cast("long").alias("start"), "length", "fragment")
 
 
-@query("SELECT job_id, id AS block_id, rank FROM (SELECT job_id, id, row_number() OVER (PARTITION BY job_id ORDER BY CASE WHEN id = 'b3' THEN 1.0 ELSE 0.0 END DESC, confidence DESC, index) AS rank FROM elig) WHERE rank <= 4")
-def block_search_rank(spark, sf_dir):
-    """Blocks to search for a birth weight: by similarity to its label, then in reading order. The SQL scores all but one block as 0."""
-    spans, blocks, _ = forms(spark, sf_dir)
+_BLOCK_TEXTS = {
+    "inb": "SELECT m.job_id, m.block_id, s.text, s.y1, s.x1, s.id FROM memb m JOIN spans s ON s.job_id = m.job_id AND s.id = m.item_id WHERE m.block_id <> 'fig'",
+    "runs": "SELECT job_id, block_id, text AS t0, lead(text, 1) OVER w AS t1, lead(text, 2) OVER w AS t2, lead(text, 3) OVER w AS t3 FROM inb WINDOW w AS (PARTITION BY job_id, block_id ORDER BY y1, x1, id)",
+    "bt": f"SELECT DISTINCT job_id, block_id, {canon('text')} AS n FROM (SELECT job_id, block_id, unnest([t0, t0 || ' ' || t1, t0 || ' ' || t1 || ' ' || t2, t0 || ' ' || t1 || ' ' || t2 || ' ' || t3]) AS text FROM runs UNION ALL SELECT job_id, id, content FROM elig) WHERE text IS NOT NULL",
+    **ratio("SELECT DISTINCT n, 'birth weight' AS t FROM bt WHERE n <> '' AND NOT contains(n, 'birth weight')"),
+    "bs": "SELECT job_id, block_id, max(CASE WHEN bt.n = 'birth weight' THEN 1.0::DOUBLE WHEN contains(bt.n, 'birth weight') THEN greatest(0.96::DOUBLE, least(0.98::DOUBLE, 12 / length(bt.n)::DOUBLE + 0.35::DOUBLE)) ELSE coalesce(ratio, 0.0) END) AS score FROM bt LEFT JOIN rt ON rt.n = bt.n GROUP BY job_id, block_id",
+}
+
+
+def _weight_scores(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Eligible blocks, spans, and the blocks' scores for the birth weight's label."""
+    spans, blocks, _ = staged_forms(spark, sf_dir)
     chosen = regions.eligible_blocks(blocks)
-    scores = regions.block_label_scores(chosen, spans, _BP.label_alias_rows(spark))
+    return chosen, spans, regions.block_label_scores(chosen, spans, _BP.label_alias_rows(spark).where("path = 'data.baby.birthWeight'"))
+
+
+@query("SELECT job_id, block_id, round(score, 6) AS score FROM bs WHERE score > 0", _BLOCK_TEXTS)
+def block_label_scores(spark, sf_dir):
+    """How much each block looks like the printed label of a birth weight: by its content, its spans and runs of them."""
+    return _weight_scores(spark, sf_dir)[2].where("score > 0").select("job_id", "block_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT job_id, arg_max(block_id, (score, -(b.x2 - b.x1) * (b.y2 - b.y1), -b.index)) AS block_id FROM bs JOIN elig b USING (job_id) WHERE b.id = block_id AND score >= 0.78::DOUBLE GROUP BY job_id", _BLOCK_TEXTS)
+def label_block(spark, sf_dir):
+    chosen, _, scores = _weight_scores(spark, sf_dir)
+    return regions.best_label_block(scores, chosen).select("job_id", "block_id")
+
+
+_FOUND = "SELECT e.job_id, e.id AS block_id, row_number() OVER (PARTITION BY e.job_id ORDER BY coalesce(score, 0) DESC, {more}confidence DESC, index) AS rank FROM elig e LEFT JOIN bs ON bs.job_id = e.job_id AND bs.block_id = e.id"
+
+
+@query(f"SELECT job_id, block_id, rank FROM ({_FOUND.format(more='')}) WHERE rank <= 4", _BLOCK_TEXTS)
+def block_search_rank(spark, sf_dir):
+    """Blocks to search for a birth weight: by similarity to its label, then in reading order."""
+    chosen, spans, scores = _weight_scores(spark, sf_dir)
     wanted = spans.select("job_id").distinct().withColumn("path", F.lit("data.baby.birthWeight"))
     return regions.search_blocks(chosen, scores, wanted).select("job_id", "block_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"SELECT job_id, block_id, rank FROM ({_FOUND.format(more='CASE WHEN filled THEN 1 ELSE 0 END, ').replace('FROM elig e', 'FROM (SELECT *, (job_id::BIGINT + index) % 2 = 0 AS filled FROM elig) e')}) WHERE rank <= 3", _BLOCK_TEXTS)
+def supplemental_blocks(spark, sf_dir):
+    """Blocks to read again, where every second one has no span yet: at one relevance those come first."""
+    chosen, spans, scores = _weight_scores(spark, sf_dir)
+    wanted = spans.select("job_id").distinct().withColumn("path", F.lit("data.baby.birthWeight"))
+    row = F.substring("id", -1, 1).cast("long")
+    some = spans.where("id rlike '^[lv][0-4]$'").where((F.col("job_id").cast("long") + row) % 2 == 0)
+    return regions.search_blocks(chosen, scores, wanted, 3, prefer_empty=some).select("job_id", "block_id", F.col("rank").cast("long").alias("rank"))
+
+
 @query()
 def recovery_tasks(spark, sf_dir):
     """Crops to read again after a first attempt, with the paths of each."""
@@ -299,9 +367,19 @@ def crop_padding(spark, sf_dir):
     return forms(spark, sf_dir)[1].where(box.valid).select("job_id", "id", *box.flat())
 
 
-@query()
+_BOXES = "SELECT user_id::VARCHAR AS job_id, (event_id % 5)::INT AS page, event_id::VARCHAR AS id, (event_id % 37)::INT AS x, (event_id % 41)::INT AS y, row_number() OVER (PARTITION BY user_id, event_id % 5 ORDER BY value DESC, event_id % 41, event_id % 37, event_id::VARCHAR) AS r FROM events"
+_BOTH = "greatest(20 - abs(k.x - b.x), 0) * greatest(20 - abs(k.y - b.y), 0)"
+
+
+@query(
+    "SELECT job_id, page, (row_number() OVER (PARTITION BY job_id, page ORDER BY r) - 1)::INT AS rank, id FROM greedy WHERE taken",
+    {"ranked_": _BOXES, "greedy": f"""SELECT job_id, page, r, id, true AS taken, [{{x: x, y: y}}] AS kept FROM ranked_ WHERE r = 1 UNION ALL
+        SELECT b.job_id, b.page, b.r, b.id, len(list_filter(g.kept, lambda k: {_BOTH} / greatest(800 - {_BOTH}, 1)::DOUBLE >= 0.65::DOUBLE)) = 0,
+        CASE WHEN len(list_filter(g.kept, lambda k: {_BOTH} / greatest(800 - {_BOTH}, 1)::DOUBLE >= 0.65::DOUBLE)) = 0 THEN list_append(g.kept, {{x: b.x, y: b.y}}) ELSE g.kept END
+        FROM greedy g JOIN ranked_ b ON b.job_id = g.job_id AND b.page = g.page AND b.r = g.r + 1"""},
+)
 def iou_suppression(spark, sf_dir):
-    """Boxes of a page of events: greedy, so no plain SQL."""
+    """Boxes of a page of events: greedy, so the SQL goes from box to box."""
     e = _table(spark, sf_dir, "events")
     x, y = (F.col("event_id") % 37).cast("int"), (F.col("event_id") % 41).cast("int")
     boxes = e.select(F.col("user_id").cast("string").alias("job_id"), (F.col("event_id") % 5).cast("int").alias("page"), F.col("event_id").cast("string").alias("id"), F.col("value").alias("confidence"), x.alias("x1"), y.alias("y1"), (x + 20).alias("x2"), (y + 20).alias("y2"))
@@ -532,20 +610,37 @@ def envelope_fields(spark, sf_dir):
     return out.select("job_id", F.col("data.serialNumber").alias("serial"), F.col("data.baby.firstName").alias("first_name"), F.col("meta.pre.birthWeight").alias("pre_weight"))
 
 
-@query()
+_OF = "max(value) FILTER (path = '{}' AND disposition = 'accepted')"
+
+
+@query(f"SELECT job_id, 'data,meta' AS keys, {_OF.format('data.serialNumber')} AS serial, {_OF.format('data.baby.sample.collection.date')} AS collected, coalesce({_OF.format('data.baby.male')}, 'null') AS male, max(score) FILTER (path = 'data.baby.firstName') AS name_score, max(disposition) FILTER (path = 'data.baby.birthWeight') AS weight_is FROM dec GROUP BY job_id")
 def envelope_json(spark, sf_dir):
-    return audit.envelope_json(audit.envelopes(_decisions(spark, sf_dir), _BP.output_paths))
+    """Values read back from the public JSON; nulls are written out."""
+    rows = audit.envelope_json(audit.envelopes(_decisions(spark, sf_dir), _BP.output_paths))
+    at = lambda path: F.get_json_object("value", path)
+    null = F.coalesce(at("$.data.baby.male"), F.when(F.contains("value", F.lit('"male":null')), "null"))
+    return rows.select(
+        "job_id", F.array_join(F.json_object_keys("value"), ",").alias("keys"), at("$.data.serialNumber").alias("serial"), at("$.data.baby.sample.collection.date").alias("collected"), null.alias("male"),
+        at("$.meta.fields['data.baby.firstName'].score").cast("double").alias("name_score"), at("$.meta.fields['data.baby.birthWeight'].disposition").alias("weight_is"),
+    )
 
 
-@query()
+_READY = {
+    "ready": "SELECT job_id, 0.65::DOUBLE * w / n + 0.20::DOUBLE * h / n + 0.15::DOUBLE * (1 - exp(-n / 120.0)) AS ocr FROM (SELECT job_id, sum(confidence * c) AS w, sum(CASE WHEN confidence >= 0.80 THEN c ELSE 0 END) AS h, sum(c)::DOUBLE AS n FROM (SELECT job_id, confidence, length(regexp_replace(text, '\\s', '', 'g')) AS c FROM spans) GROUP BY job_id)",
+    "eng1": STEPS["d1"].replace("ln(0.95::DOUBLE)", "ln(exp(0.30::DOUBLE * ln(ocr) / 0.85::DOUBLE))").replace("FROM d0", "FROM d0 JOIN ready USING (job_id)"),
+    "eng2": STEPS["d2"].replace("FROM d1", "FROM eng1"), "engd": STEPS["dec"].replace("FROM d2", "FROM eng2"),
+}
+
+
+@query("SELECT job_id, path, value, score, disposition, array_to_string(reasons, ',') AS reasons FROM engd", _READY)
 def engine_run(spark, sf_dir):
-    """The whole engine: mapping on page and blocks, decisions, retries, re-verification, assembly."""
+    """The whole engine: readiness, mapping on page and blocks, decisions, retries, re-verification; all decisions of all jobs."""
     from .engine import Evidence, FormEngine
 
     spans, blocks, controls = staged_forms(spark, sf_dir)
     spans = spans.withColumns({"script": F.lit(None).cast("string"), "attempt": F.lit(0)})
     found = FormEngine(spark, _BP).extract(Evidence(spans, blocks, controls))
-    return found.decisions.groupBy("disposition").agg(F.count("*").alias("n"))
+    return found.decisions.select("job_id", "path", "value", F.round("score", 6).alias("score"), "disposition", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("SELECT doc_id, CASE WHEN source IS NOT NULL THEN CAST(('0x' || substr(sha256(source), 1, 2)) AS INT) % 10 END AS colour, substr(regexp_replace(source, '[^\\x00-\\x7F]', '?', 'g'), 1, 48) || ' 0.50' AS label FROM documents")
@@ -583,10 +678,18 @@ def text_scan(spark, sf_dir):
     return evidence.text_results(rows).groupBy("job_id").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("longest"))
 
 
-@query()
+_PROMPT = """SELECT job_id, count(*)::BIGINT AS n_spans, md5(string_agg(left(text, 160), '|' ORDER BY r)) AS span_texts, max(b.n)::BIGINT AS n_blocks, max(b.ids) AS block_ids FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY page, y1, x1, id) AS r FROM long_spans) s
+    JOIN (SELECT job_id, count(*) AS n, string_agg(id, '|' ORDER BY r) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY page, coalesce("order", 1000000), y1, x1, id) AS r FROM blocks) WHERE r <= 4 GROUP BY job_id) b USING (job_id) WHERE r <= 9 GROUP BY job_id"""
+
+
+@query(_PROMPT, {"long_spans": "SELECT * REPLACE (CASE WHEN seq % 3 = 0 THEN repeat(text || ' ', 20) ELSE text END AS text) FROM spans"})
 def prompt_payload(spark, sf_dir):
+    """What a prompt shows of each form, read back from its JSON: nine spans and four blocks here, texts of 160 characters at most."""
     spans, blocks, _ = forms(spark, sf_dir)
-    return providers.prompt_payload(spans, blocks)
+    spans = spans.withColumn("text", F.when(F.col("seq") % 3 == 0, F.repeat(F.concat("text", F.lit(" ")), F.lit(20))).otherwise(F.col("text")))
+    shape = "ocrSpans array<struct<id:string,text:string>>, layoutBlocks array<struct<id:string>>"
+    rows = providers.prompt_payload(spans, blocks, 9, 4).select("job_id", F.from_json("payload", shape).alias("p"))
+    return rows.select("job_id", F.size("p.ocrSpans").cast("long").alias("n_spans"), F.md5(F.array_join("p.ocrSpans.text", "|").cast("binary")).alias("span_texts"), F.size("p.layoutBlocks").cast("long").alias("n_blocks"), F.array_join("p.layoutBlocks.id", "|").alias("block_ids"))
 
 
 @query()
@@ -614,6 +717,9 @@ def control_states(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", image.control_state(F.col("value") / 100, F.lit(1.0))["state"].alias("state"))
 
 
+from . import flows  # noqa: E402, F401  (registers more queries)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -64,7 +64,8 @@ STEPS: dict[str, str] = {
     "best": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id, path ORDER BY recognition * association DESC, seq) AS r FROM v1) WHERE r = 1",
     "extra": """SELECT c.job_id, c.seq, 'collection_before_birth' AS code FROM best c JOIN best b ON c.job_id = b.job_id WHERE c.path = 'data.baby.sample.collection.date' AND b.path = 'data.baby.dateOfBirth' AND c.value < b.value
         UNION ALL SELECT x.job_id, unnest([x.seq, y.seq]), 'exclusive_group_conflict' FROM best x JOIN best y ON x.job_id = y.job_id WHERE x.path = 'data.baby.male' AND y.path = 'data.baby.female' AND x.value = 'true' AND y.value = 'true'""",
-    "vc": "SELECT v.*, list_concat(codes0, coalesce((SELECT list(code ORDER BY code) FROM extra e WHERE e.job_id = v.job_id AND e.seq = v.seq), [])) AS codes FROM v1 v",
+    "more": "SELECT job_id, seq, list(DISTINCT code ORDER BY code) AS codes1 FROM extra GROUP BY job_id, seq",
+    "vc": "SELECT v.*, list_concat(codes0, coalesce(codes1, [])) AS codes FROM v1 v LEFT JOIN more m ON m.job_id = v.job_id AND m.seq = v.seq",
     "usable": "SELECT * FROM vc WHERE value IS NOT NULL",
     "cl": """SELECT job_id, path, value, max(recognition * association) AS strength, min(seq) AS first, count(*) AS votes, max(recognition) AS recognition, max(association) AS association, list_distinct(flatten(list(codes))) AS codes,
         list_distinct(flatten(list(sources))) AS sources, len(list_distinct(flatten(list(sources)))) AS n_sources FROM usable GROUP BY job_id, path, value""",
@@ -88,16 +89,32 @@ STEPS: dict[str, str] = {
 }
 
 
-def sql(select: str) -> str:
-    """``select`` with the steps that it names, and those they name, before it."""
+def ratio(pairs: str) -> dict[str, str]:
+    """Steps for the similarity ratio of ``pairs``, a select of distinct n, t: ``rt`` has n, t, ratio.
+
+    The longest common part, the first in n and then in t, matches; so do those of what stands before and after it in both.
+    """
+    parts = "flatten(list_transform(range(1, length(b) + 1), lambda j: list_transform(range(1, length(b) - j + 2), lambda k: {k: k, i: -strpos(a, substr(b, j, k)), j: -j})))"
+    return {
+        "rp": pairs,
+        "sm": f"""SELECT n, t, n AS a, t AS b, 0::BIGINT AS m FROM rp UNION ALL
+            SELECT n, t, unnest([substr(a, 1, -x.i - 1), substr(a, -x.i + x.k)]), unnest([substr(b, 1, -x.j - 1), substr(b, -x.j + x.k)]), unnest([x.k, 0])
+            FROM (SELECT n, t, a, b, list_reverse_sort(list_filter({parts}, lambda y: y.i < 0))[1] AS x FROM sm WHERE a <> '' AND b <> '') WHERE x IS NOT NULL""",
+        "rt": "SELECT n, t, 2.0::DOUBLE * sum(m) / (length(n) + length(t)) AS ratio FROM sm GROUP BY n, t",
+    }
+
+
+def sql(select: str, steps: dict[str, str] | None = None) -> str:
+    """``select`` with the steps that it names, and those they name, before it; ``steps`` are its own besides STEPS."""
+    known = STEPS | (steps or {})
     needed: set[str] = set()
 
     def visit(text: str) -> None:
-        for name in STEPS:
+        for name in known:
             if name not in needed and re.search(rf"(FROM|JOIN|,)\s+{name}\b", text):
                 needed.add(name)
-                visit(STEPS[name])
+                visit(known[name])
 
     visit(select)
-    steps = ",\n".join(f"{n} AS ({q})" for n, q in STEPS.items() if n in needed)
-    return f"WITH {steps}\n{select}" if steps else select
+    found = ",\n".join(f"{n} AS ({q})" for n, q in known.items() if n in needed)
+    return f"WITH RECURSIVE {found}\n{select}" if found else select

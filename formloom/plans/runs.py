@@ -8,7 +8,6 @@ from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
 
 from ..functions.hashing import sha256_json
 from ..operators.audit import trace_events
@@ -39,12 +38,15 @@ class Run:
         finally:
             self.steps.append((self.run_id, node, attempt, sha256_json(inputs) if inputs else None, status, (time.perf_counter() - began) * 1000, error, at))
 
+    def _complete(self, path: str) -> bool:
+        """Whether a write to the folder was committed; one that was broken off leaves no such mark."""
+        mark = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(mark)
+
     def stage(self, node: str, build: Callable[[], DataFrame], attempt: int = 0) -> DataFrame:
         path = f"{self.folder}/{node}/attempt={attempt}"
-        try:
+        if self._complete(path):
             return self.spark.read.parquet(path)
-        except AnalysisException:
-            pass
         with self.step(node, attempt):
             build().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)

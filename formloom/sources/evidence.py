@@ -46,6 +46,15 @@ def sidecar_evidence(files: DataFrame, attempt: int = 0, prefixes: tuple[str, st
     return spans, blocks, controls
 
 
+def sidecar_rejects(files: DataFrame) -> DataFrame:
+    """What sidecar_evidence() leaves out: job_id, kind, seq and reason of each item without a valid box."""
+    parts = []
+    for kind in ("ocrSpans", "layoutBlocks", "controls"):
+        rows = files.select("job_id", F.posexplode(kind).alias("seq", "e")).select("job_id", F.lit(kind).alias("kind"), F.col("seq").cast("long"), *[F.col(f"e.bbox.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
+        parts.append(rows.where(F.coalesce(~Box().valid, F.lit(True))).select("job_id", "kind", "seq", F.lit("invalid_box").alias("reason")))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 def layout_results(rows: DataFrame, source: str = "layout") -> DataFrame:
     """Blocks of a layout recogniser's JSON (job_id, json). A score of zero counts as none; without any, 0.75."""
     item = "struct<block_bbox:array<double>,bbox:array<double>,block_label:string,label:string,block_content:string,content:string,score:double,confidence:double,block_order:string>"
@@ -80,6 +89,12 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(name.alias("job_id"), "path", "length", "content", F.sha2("content", 256).alias("sha256")).where(F.col("job_id").rlike(JOB_ID))
 
 
+def image_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """The files that read_images() leaves out: path and reason."""
+    rows = spark.read.format("binaryFile").load(path).select("path", F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "").alias("name"))
+    return rows.where(~F.col("name").rlike(JOB_ID)).select("path", F.lit("invalid_job_id").alias("reason"))
+
+
 def decode_images(spark: SparkSession, path: str) -> DataFrame:
     """Decoded pixels: job_id, width, height, channels and BGR bytes."""
     rows = spark.read.format("image").option("dropInvalid", True).load(path)
