@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.shiftleft(F.xxhash64(i, F.substring(F.col("sig"), i * (2 * BAND) + 1, F.lit(2 * BAND))), shift).bitwiseOR(i.cast("long")))
     rows = sigs.select("id", F.explode(bands).alias("bucket"))
     heads = rows.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
-    members = checkpointed(rows.join(heads, "bucket"))
+    members = checkpointed(salted_join(rows, heads, "bucket", BANDS * classes.count(), by="id", sizes=heads.select("bucket", F.col("size").alias("__n"))))
 
     def likely(pairs: DataFrame) -> DataFrame:
         sig = sigs.select("id", "sig")

@@ -35,15 +35,16 @@ def narrow(small: DataFrame, rows: int) -> DataFrame:
 HOT_KEYS, HOT_ROWS = 10_000, 1_024
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, rows: int, how: str = "inner", counted: DataFrame | None = None, by: str | None = None) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, rows: int, how: str = "inner", counted: DataFrame | None = None, by: str | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """``left`` join ``right`` on ``key`` where one key may hold any share of the ``rows`` rows of ``left``.
 
     Rows of a hot key (more than HOT_ROWS, and more than one in HOT_KEYS of all) are dealt over parts of about that many, and
     the key's rows of ``right`` go to each part. Keys are counted in ``counted`` (``left`` itself unless given), which
-    should be stored; rows are dealt by column ``by``, or by all.
+    should be stored, unless ``sizes`` (the key, __n) tells their counts; rows are dealt by column ``by``, or by all.
     """
     part = max(HOT_ROWS, -(-rows // HOT_KEYS))
-    hot = (counted if counted is not None else left).groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > part).select(key, F.ceil(F.col("__n") / part).cast("int").alias("__parts"))
+    sizes = sizes if sizes is not None else (counted if counted is not None else left).groupBy(key).agg(F.count("*").alias("__n"))
+    hot = sizes.where(F.col("__n") > part).select(key, F.ceil(F.col("__n") / part).cast("int").alias("__parts"))
     hot = F.broadcast(hot)  # at most HOT_KEYS rows
     one = F.coalesce("__parts", F.lit(1))
     salt = F.pmod(F.xxhash64(*([by] if by else left.columns)), one).cast("int")
