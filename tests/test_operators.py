@@ -297,6 +297,6 @@ def test_settings_rules(tmp_path):
     with pytest.raises(SpecError, match="folders"):
         Settings.from_dict({"paddle": {"enabled": True, "text_detection_model_dir": str(tmp_path)}})
     with pytest.raises(SpecError, match="component"):
-        Settings.from_dict({"paddle": {"enabled": True, "text_enabled": False}})
+        Settings.from_dict({"paddle": {"enabled": True, "text_enabled": False, "layout_enabled": False}})
     assert Settings.from_dict({"paddle": {"engine": "a", "layout_engine": "b"}}).paddle.resolved_layout_engine == "b"
     assert Settings().policy.accept_threshold == 0.90
