@@ -13,7 +13,9 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("sidecars", help="a file, folder or glob that Spark can read")
     run.add_argument("--blueprint", required=True)
     run.add_argument("--settings")
-    run.add_argument("--output", required=True, help="folder for results, ledger and review queue")
+    run.add_argument("--output", required=True, help="folder for results, ledger, review queue and layouts")
+    run.add_argument("--run-dir", help="folder of a durable run; stages that are there already are not computed again")
+    run.add_argument("--corrections", help="JSON lines of job_id, path and value from reviews")
     schema = sub.add_parser("schema", help="print the JSON Schema of a blueprint's results")
     schema.add_argument("--blueprint", required=True)
     schema.add_argument("--output")
@@ -25,7 +27,10 @@ def main(argv: list[str] | None = None) -> int:
 
     from .plans.engine import Evidence, FormEngine
     from .sources.evidence import read_sidecars, sidecar_evidence
-    from .sources.sinks import json_schema, write_results, write_table
+    from .operators.audit import layout_extractions
+    from .plans.runs import Run
+    from .schemas import CORRECTIONS
+    from .sources.sinks import json_schema, write_records, write_results, write_table
 
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("formloom").getOrCreate()
@@ -41,10 +46,15 @@ def main(argv: list[str] | None = None) -> int:
         else:
             print(text)
         return 0
-    found = engine.extract(Evidence(*sidecar_evidence(read_sidecars(spark, args.sidecars))))
+    corrections = spark.read.schema(CORRECTIONS).json(args.corrections) if args.corrections else None
+    run = Run(spark, args.run_dir) if args.run_dir else None
+    found = engine.extract(Evidence(*sidecar_evidence(read_sidecars(spark, args.sidecars))), corrections=corrections, run=run)
     write_results(found.envelopes, f"{args.output}/results")
     write_table(found.ledger, f"{args.output}/evidence")
     write_table(found.review_queue, f"{args.output}/review")
+    write_records(layout_extractions(found.layouts, found.decisions, found.envelopes), f"{args.output}/layouts")
+    if found.pending is not None:
+        write_records(found.pending, f"{args.output}/pending")
     return 0
 
 

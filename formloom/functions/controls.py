@@ -87,10 +87,13 @@ def outlines(mask: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
             yield x1 - 1, y1 - 1, x2 + 1, y2 + 1, area + 2 * (x2 - x1 + y2 - y1) + 4
 
 
-def find_controls(bgr: np.ndarray) -> list[tuple[int, int, int, int, str, float, float]]:
-    """x1, y1, x2, y2, kind, shape confidence and inner ink ratio of what may be a control; overlaps are left in."""
+def find_controls(bgr: np.ndarray, short: int | None = None) -> list[tuple[int, int, int, int, str, float, float]]:
+    """x1, y1, x2, y2, kind, shape confidence and inner ink ratio of what may be a control; overlaps are left in.
+
+    Sizes are measured against ``short``, the page's short side: the image's own unless it is a crop.
+    """
     mask = ink_mask(bgr)
-    short = min(mask.shape)
+    short = short or min(mask.shape)
     least = max(8, int(short * SMALLEST))
     most = max(least + 1, int(short * LARGEST))
     out = []
@@ -116,7 +119,12 @@ def find_controls(bgr: np.ndarray) -> list[tuple[int, int, int, int, str, float,
 
 
 def detect_controls(images: DataFrame, attempt: int = 0) -> DataFrame:
-    """Controls of decoded images (job_id, width, height, channels, data), named by their place in reading order."""
+    """Controls of decoded images (job_id, width, height, channels, data), named by their place in reading order.
+
+    Crops also have ``scale``, how many of their pixels are one of the page, and ``short``, the page's short side. Boxes are
+    in pixels of the page's size.
+    """
+    columns = ["job_id", "width", "height", "channels", "data", *[c for c in ("scale", "short") if c in images.columns]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -124,10 +132,11 @@ def detect_controls(images: DataFrame, attempt: int = 0) -> DataFrame:
             for row in frame.itertuples(index=False):
                 pixels = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.channels)
                 pixels = np.repeat(pixels, 3, axis=2) if row.channels == 1 else pixels[:, :, :3]
-                out += [(row.job_id, str(i), *c) for i, c in enumerate(find_controls(pixels))]
+                step = getattr(row, "scale", 1)
+                out += [(row.job_id, str(i), *c) for i, c in enumerate(find_controls(pixels[::step, ::step], getattr(row, "short", None)))]
             yield pd.DataFrame(out, columns=["job_id", "id", "x1", "y1", "x2", "y2", "kind", "confidence", "ink_ratio"])
 
-    rows = images.select("job_id", "width", "height", "channels", "data").mapInPandas(run, "job_id string, id string, x1 int, y1 int, x2 int, y2 int, kind string, confidence double, ink_ratio double")
+    rows = images.select(*columns).mapInPandas(run, "job_id string, id string, x1 int, y1 int, x2 int, y2 int, kind string, confidence double, ink_ratio double")
     rows = rows.withColumn("page", F.lit(1))
     kept = rows.join(suppress_overlaps(rows).select("job_id", "page", "id"), ["job_id", "page", "id"], "left_semi")
     seq = F.row_number().over(Window.partitionBy("job_id").orderBy("y1", "x1")) - 1

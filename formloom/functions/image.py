@@ -61,6 +61,13 @@ def features(bgr: np.ndarray) -> dict[str, float]:
     }
 
 
+def pixels_of(row) -> np.ndarray:
+    """The BGR pixels of a row of decoded images."""
+    # Numbers are floats in a batch where some rows have no image.
+    pixels = np.frombuffer(row.data, np.uint8).reshape(int(row.height), int(row.width), int(row.channels))
+    return np.repeat(pixels, 3, axis=2) if row.channels == 1 else pixels[:, :, :3]
+
+
 def assess_images(images: DataFrame) -> DataFrame:
     """Features of decoded images (job_id, width, height, channels, data)."""
     names = [*WEIGHTS, "degrees"]

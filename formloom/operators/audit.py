@@ -29,6 +29,47 @@ def image_evidence(images: DataFrame, kind: str = "image") -> DataFrame:
     )
 
 
+def crop_evidence(crops: DataFrame) -> DataFrame:
+    """Evidence records of crops (job_id, block_id, page, cx1, cy1, cx2, cy2, data, actions); digests are of the pixels that were read."""
+    none = F.lit(None).cast("string")
+    return crops.where("data is not null").select(
+        "job_id", F.concat_ws(":", F.lit("crop"), "job_id", "block_id").alias("id"), F.lit("crop").alias("kind"), "page", *[F.col(f"c{c}").alias(c) for c in CORNERS],
+        F.lit(1.0).alias("confidence"), F.lit("layout_crop").alias("source"), none.alias("text_sha256"), none.alias("artifact_path"), F.sha2("data", 256).alias("artifact_sha256"), F.col("actions").alias("transform_chain"),
+    )
+
+
+def layout_records(blocks: DataFrame, spans: DataFrame, controls: DataFrame, members: DataFrame, held: DataFrame) -> DataFrame:
+    """What each block holds: job_id, block_id, label, page, its box, and the ids of its spans and controls in order.
+
+    ``members`` and ``held`` are (job_id, page, item_id, block_id) of the spans and of the controls. A job's blocks are a
+    page's, so the lists are short.
+    """
+    def ids(items: DataFrame, of: DataFrame, name: str) -> DataFrame:
+        rows = of.join(items.select("job_id", "page", F.col("id").alias("item_id"), "seq"), ["job_id", "page", "item_id"])
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", "item_id"))), lambda x: x["item_id"])
+        return rows.groupBy("job_id", "page", "block_id").agg(listed.alias(name))
+
+    none = F.array().cast("array<string>")
+    rows = blocks.withColumnRenamed("id", "block_id")
+    for part, name in ((ids(spans, members, "span_ids"), "span_ids"), (ids(controls, held, "control_ids"), "control_ids")):
+        rows = rows.join(part, ["job_id", "page", "block_id"], "left").withColumn(name, F.coalesce(name, none))
+    return rows.select("job_id", "block_id", "seq", "label", "page", *CORNERS, "span_ids", "control_ids")
+
+
+def layout_extractions(records: DataFrame, decisions: DataFrame, envelopes_: DataFrame) -> DataFrame:
+    """One row per job: ``layouts``, its layout_records() in order, and ``combined``, what they came to together.
+
+    Jobs that have no envelope yet have no row.
+    """
+    kept = [c for c in records.columns if c not in ("job_id", "seq")]
+    layouts = records.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "block_id", F.struct(*kept).alias("v")))), lambda x: x["v"]).alias("layouts"))
+    fields = F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", F.struct("score", "disposition", "reasons", "value", "evidence_ids").alias("d"))))).alias("fieldDecisions")
+    rows = path_lists(decisions).join(decisions.groupBy("job_id").agg(fields), "job_id").join(envelopes_.select("job_id", F.to_json("data", {"ignoreNullFields": "false"}).alias("data")), "job_id")
+    combined = F.struct("data", F.col("accepted").alias("acceptedPaths"), F.col("unresolved").alias("unresolvedPaths"), "fieldDecisions")
+    out = rows.select("job_id", combined.alias("combined")).join(layouts, "job_id", "left")
+    return out.select("job_id", "layouts", "combined")
+
+
 def trace_events(rows: DataFrame) -> DataFrame:
     """Steps (run_id, node, attempt, input_hash, status, ...) with their event ids. Values are never part of them."""
     return rows.withColumn("event_id", event_id(F.col("run_id"), F.col("node"), F.col("attempt"), F.col("input_hash"))).drop("values")

@@ -41,8 +41,8 @@ def _parted(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"own": at[0], "variant": at[1].cast("int")})
 
 
-def enhanced(evidence: tuple[DataFrame, DataFrame, DataFrame], images: DataFrame, jobs: DataFrame, scan: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]], min_gain: float = 0.02, min_text: float = 0.80, min_controls: float = 0.75, most: int = 3) -> tuple[tuple[DataFrame, DataFrame, DataFrame], DataFrame]:
-    """Spans, blocks and controls with those of jobs replaced by an enhanced page's, where one passes all gates; and the verdicts.
+def enhanced(evidence: tuple[DataFrame, DataFrame, DataFrame], images: DataFrame, jobs: DataFrame, scan: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]], min_gain: float = 0.02, min_text: float = 0.80, min_controls: float = 0.75, most: int = 3) -> tuple[tuple[DataFrame, DataFrame, DataFrame], DataFrame, DataFrame]:
+    """Spans, blocks and controls with those of jobs replaced by an enhanced page's, where one passes all gates; the verdicts; and the images with those pages in place of the old ones.
 
     ``jobs`` has job_id, suggested, recommendations, degrees, ocr_before and technical_before of the jobs to enhance; ``scan``
     reads images. Verdicts have a row for each variant: job_id, variant, actions, eligible, reason, chosen.
@@ -74,4 +74,5 @@ def enhanced(evidence: tuple[DataFrame, DataFrame, DataFrame], images: DataFrame
         found = _parted(new_).join(chosen.withColumnRenamed("job_id", "own"), ["own", "variant"], "left_semi").withColumn("job_id", F.col("own"))
         return old.join(chosen, "job_id", "left_anti").unionByName(found.select(old.columns))
 
-    return tuple(taken(o, n) for o, n in zip(evidence, new, strict=True)), verdicts
+    pages = images.select("job_id", "width", "height", "channels", "data")
+    return tuple(taken(o, n) for o, n in zip(evidence, new, strict=True)), verdicts, taken(pages, drawn)

@@ -208,14 +208,19 @@ def control_candidates(*tables: DataFrame, **options) -> DataFrame:
     return numbered(control_rows(*tables, **options))
 
 
+def label_matches(spans: DataFrame, aliases: DataFrame, ratio: bool = True) -> DataFrame:
+    """How much spans resemble the labels of options: job_id, page, label_id, path, score."""
+    labels = with_canon(spans).select(*KEY, F.col("id").alias("label_id"), "canon")
+    scores = small(staged(alias_scores(labels.select("canon"), aliases.where("kind = 'option'"), OPTION_MATCH, ratio)))
+    return labels.join(scores, "canon").select(*KEY, "label_id", "path", "score")
+
+
 def request_controls(associated: DataFrame, spans: DataFrame, aliases: DataFrame, targets: DataFrame, most: int = 32, ratio: bool = True) -> DataFrame:
     """The controls worth showing with a request for ``targets`` (job_id, path): those whose label resembles a wanted option.
 
     Ranked by match and certainty of state, then in reading order; columns of ``associated`` with ``rank``.
     """
-    labels = with_canon(spans).select(*KEY, F.col("id").alias("label_id"), "canon")
-    scores = small(staged(alias_scores(labels.select("canon"), aliases.where("kind = 'option'"), OPTION_MATCH, ratio)))
-    wanted = labels.join(scores, "canon").join(targets.select("job_id", "path").distinct(), ["job_id", "path"], "left_semi").groupBy(*KEY, "label_id").agg(F.max("score").alias("match"))
+    wanted = label_matches(spans, aliases, ratio).join(targets.select("job_id", "path").distinct(), ["job_id", "path"], "left_semi").groupBy(*KEY, "label_id").agg(F.max("score").alias("match"))
     rows = associated.join(wanted, [*KEY, "label_id"]).withColumn("worth", 0.75 * F.col("match") + 0.25 * F.col("state_confidence"))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("worth"), "y1", "x1")))
     return ranked.where(F.col("rank") <= most).select(*associated.columns, "rank")

@@ -22,16 +22,22 @@ def reading_order(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("rank", F.row_number().over(Window.partitionBy("job_id").orderBy(*block_order())))
 
 
-def eligible_blocks(blocks: DataFrame, excluded: tuple[str, ...] = EXCLUDED, most: int = 24, width: int | None = None, height: int | None = None, least_area: float = 0.001) -> DataFrame:
+def eligible_blocks(blocks: DataFrame, excluded: tuple[str, ...] = EXCLUDED, most: int = 24, width: int | None = None, height: int | None = None, least_area: float = 0.001, padding: int = 0, pages: DataFrame | None = None) -> DataFrame:
     """The first ``most`` blocks of a job in reading order that may be cropped, with ``index`` from 0.
 
-    With a page size, blocks off the page or smaller than ``least_area`` of it don't count.
+    With a page size, blocks off the page or smaller than ``least_area`` of it, ``padding`` included, don't count. ``pages``
+    (job_id, width, height) has a size for each job; blocks of jobs without one all count.
     """
     names = tuple(x.lower().strip().replace(" ", "_") for x in excluded)
     rows = blocks.where(~F.replace(F.trim(F.lower("label")), F.lit(" "), F.lit("_")).isin(*names)) if names else blocks
     if width and height:
-        box = Box().expanded(0, 0, width, height)
+        box = Box().expanded(padding, padding, width, height)
         rows = rows.where(box.valid & (box.area / F.lit(width * height) >= least_area))
+    if pages is not None:
+        w, h = F.col("page_width"), F.col("page_height")
+        rows = rows.join(pages.select("job_id", F.col("width").alias("page_width"), F.col("height").alias("page_height")), "job_id", "left")
+        box = Box().expanded(padding, padding, w, h)
+        rows = rows.where(w.isNull() | (box.valid & (box.area / F.greatest(w * h, F.lit(1)) >= least_area))).select(*blocks.columns)
     ranked = reading_order(rows)
     return ranked.where(F.col("rank") <= most).withColumn("index", F.col("rank") - 1).drop("rank")
 

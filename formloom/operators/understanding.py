@@ -50,3 +50,9 @@ def understood(rows: DataFrame) -> DataFrame:
         "job_id", F.col("u.handwritingLegibility").alias("handwriting"), F.transform(F.coalesce("u.qualityIssues", F.from_json(F.lit("[]"), "array<struct<kind:string,severity:string,affects:array<string>,bbox:struct<x1:int,y1:int,x2:int,y2:int>>>")), lambda q: q["severity"]).alias("severities"),
         F.coalesce(F.col("u.schemaMatch") == "mismatch", F.lit(False)).alias("mismatch"), actions.alias("actions"), "error",
     )
+
+
+def understanding_records(rows: DataFrame, images: DataFrame, model_id: str) -> DataFrame:
+    """A record of each page that was described: job_id, imageSha256 (of the pixels shown), modelId, analysis. ``rows`` are decoded replies."""
+    shown = images.select("job_id", F.sha2("data", 256).alias("imageSha256"))
+    return rows.where("error is null").join(shown, "job_id").select("job_id", "imageSha256", F.lit(model_id).alias("modelId"), F.col("u").alias("analysis"))

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text
 from ..operators import audit, readiness, regions, understanding
 from ..schemas import BLOCKS, CONTROLS, SPANS
-from ..sources import evidence, providers, sinks
+from ..sources import chat, crops, evidence, providers, sinks
 from ..stages import shared_folder
 from ..streaming import ingest
 from .catalogue import _BP, _table, query
-from .forms import forms
+from .blueprint import Provider
+from .forms import BLOCKS as FORM_BLOCKS, forms, portable
 from .oracle import _values
 
 
@@ -292,3 +293,81 @@ def envelope_schema(spark, sf_dir):
     assert found["additionalProperties"] is False
     kind = lambda t: next(x for x in ([t] if isinstance(t, str) else t) if x != "null")
     return spark.createDataFrame([(n, kind(s["type"])) for n, s in found["properties"].items()], "name string, kind string")
+
+
+# Requests, crops, layouts.
+
+_ASKED = [("data.serialNumber", 0, "lm"), ("data.baby.firstName", 1, "lm"), ("data.baby.birthWeight", 3, "lm"), ("data.baby.male", 5, "lm"), ("data.baby.female", 6, "lf")]
+
+
+def _echo(url, headers, body, timeout):
+    """A model that answers each path with how much it was shown, and cites the first text."""
+    import json
+
+    shown = json.loads(json.loads(body)["messages"][1]["content"][0]["text"].split("Evidence: ", 1)[1])
+    seen = f"{len(shown['ocr'])}/{len(shown['layout'])}/{'+'.join(c['id'] for c in shown['controls'])}"
+    answer = {"proposals": [{"path": p, "rawValue": seen, "evidenceIds": [shown["ocr"][0]["id"]]} for p in shown["allowedPaths"]]}
+    return json.dumps({"choices": [{"message": {"content": json.dumps(answer)}, "finish_reason": "stop"}]}).encode()
+
+
+@query(f"""SELECT s.job_id, p.path, s.n || '/' || b.n || '/' || a.id AS raw, s.first AS cited FROM (SELECT job_id, count(*) AS n, min_by(id, seq) AS first FROM spans GROUP BY job_id) s
+    JOIN (SELECT job_id, count(*) AS n FROM blocks GROUP BY job_id) b ON b.job_id = s.job_id CROSS JOIN ({_values(_ASKED, "path, ord, label")}) p JOIN assoc a ON a.job_id = s.job_id AND a.label_id = p.label""")
+def chat_requests(spark, sf_dir):
+    """Requests of four paths and of one for each form: all its texts and blocks are shown, and the controls of the options asked for."""
+    from ..plans.engine import Evidence
+
+    spans, blocks, controls = forms(spark, sf_dir)
+    targets = spans.select("job_id").distinct().join(spark.createDataFrame([a[:2] for a in _ASKED], "path string, ord int"))
+    ask = chat.ChatModel(Provider(), _BP, _echo).bind(Evidence(spans, blocks, controls))
+    return ask(targets).select("job_id", "path", "raw", F.element_at("evidence_ids", 1).alias("cited"))
+
+
+def _measure(pixels):
+    """A recogniser that reads a crop's size and level, and fails on every tenth level."""
+    level = int(pixels[0, 0, 0])
+    if level % 10 == 0:
+        raise ValueError("no text")
+    return [{"text": f"{pixels.shape[1]}x{pixels.shape[0]}:{level}", "confidence": 0.9, "x1": 2, "y1": 2, "x2": 8, "y2": 6}]
+
+
+_CUT = """SELECT *, level % 10 > 0 AS good FROM (SELECT p_partkey::VARCHAR AS job_id, 20 + p_partkey % 200 AS level, unnest(['a', 'b', 'page']) AS block_id, unnest([1, 3, 1]) AS s,
+    unnest([greatest(0, p_partkey % 7 - 3), 27, 0]) AS cx1, unnest([1, 17, 0]) AS cy1, unnest([p_partkey % 7 + 23, 60, 60]) AS cx2, unnest([19, 40, 40]) AS cy2 FROM part)"""
+
+
+@query(
+    """SELECT job_id, block_id, CASE WHEN good THEN 'ok' ELSE 'failed' END AS status, CASE WHEN good THEN 1 ELSE 2 END AS attempts, CASE WHEN good THEN (cx2 - cx1) * s || 'x' || (cy2 - cy1) * s || ':' || level END AS text,
+    CASE WHEN good THEN cx1 + round_even(2.0 / s, 0)::INT END AS x1, CASE WHEN good THEN cy1 + round_even(2.0 / s, 0)::INT END AS y1, CASE WHEN good THEN cx1 + round_even(8.0 / s, 0)::INT END AS x2, CASE WHEN good THEN cy1 + round_even(6.0 / s, 0)::INT END AS y2 FROM cut""",
+    {"cut": _CUT},
+)
+def crop_readings(spark, sf_dir):
+    """Crops of a small page for each part, one as it is, one upscaled and beyond the page's edge, and the page: read, with texts on the page's pixels."""
+    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_partkey").cast("string").alias("job_id"))
+    level = F.lpad(F.hex((20 + F.col("k") % 200).cast("int")), 2, "0")
+    images = p.select("job_id", F.lit(60).alias("width"), F.lit(40).alias("height"), F.lit(3).alias("channels"), F.unhex(F.repeat(level, F.lit(60 * 40 * 3))).alias("data"))
+    none, i = F.lit(None).cast("int"), lambda c: c.cast("int")
+    plain = F.array().cast("array<string>")
+    a = p.select("job_id", F.lit("a").alias("block_id"), F.lit(1).alias("page"), i(F.col("k") % 7).alias("x1"), F.lit(4).alias("y1"), i(F.col("k") % 7 + 20).alias("x2"), F.lit(16).alias("y2"), plain.alias("actions"))
+    b = p.select("job_id", F.lit("b"), F.lit(1), F.lit(30), F.lit(20), F.lit(58), F.lit(38), F.array(F.lit("upscale")))
+    whole = p.select("job_id", F.lit("page"), F.lit(1), none, none, none, none, plain)
+    read = crops.read_crops(crops.cut_crops(images, a.union(b).union(whole), 3), _measure)
+    found = crops.crop_spans(read, 0, "ocr:layout_crop").select("job_id", "block_id", "text", "x1", "y1", "x2", "y2")
+    return read.select("job_id", "block_id", "status", "attempts").join(found, ["job_id", "block_id"], "left")
+
+
+_BOXED = "CASE WHEN id = 'fig' THEN {} ELSE {} END AS {}"
+
+
+@query(
+    """SELECT e.job_id, e.id AS block_id, e.label, coalesce(m.ids, '') AS span_ids, coalesce(c.ids, '') AS control_ids FROM elig e
+    LEFT JOIN (SELECT m.job_id, m.block_id, string_agg(s.id, '+' ORDER BY s.seq) AS ids FROM memb m JOIN spans s ON s.job_id = m.job_id AND s.id = m.item_id GROUP BY ALL) m ON m.job_id = e.job_id AND m.block_id = e.id
+    LEFT JOIN (SELECT c.job_id, b.id AS block_id, string_agg(c.id, '+' ORDER BY c.seq) AS ids FROM controls c JOIN blocks b ON b.job_id = c.job_id AND (c.x1 + c.x2) / 2.0 BETWEEN b.x1 AND b.x2 AND (c.y1 + c.y2) / 2.0 BETWEEN b.y1 AND b.y2 GROUP BY ALL) c ON c.job_id = e.job_id AND c.block_id = e.id""",
+    {"blocks": f"SELECT * REPLACE ({_BOXED.format(chr(39) + 'form' + chr(39), 'label', 'label')}, {_BOXED.format(820, 'y1', 'y1')}, {_BOXED.format(900, 'y2', 'y2')}) FROM ({portable(FORM_BLOCKS)})"},
+)
+def layout_records(spark, sf_dir):
+    """What each block of a form holds, the boxes' block included."""
+    spans, blocks, controls = forms(spark, sf_dir)
+    boxed = F.col("id") == "fig"
+    blocks = blocks.withColumns({"label": F.when(boxed, "form").otherwise(F.col("label")), "y1": F.when(boxed, 820).otherwise(F.col("y1")), "y2": F.when(boxed, 900).otherwise(F.col("y2"))})
+    blocks = regions.eligible_blocks(blocks)
+    rows = audit.layout_records(blocks, spans, controls, regions.region_members(spans, blocks), regions.region_members(controls, blocks))
+    return rows.select("job_id", "block_id", "label", F.array_join("span_ids", "+").alias("span_ids"), F.array_join("control_ids", "+").alias("control_ids"))

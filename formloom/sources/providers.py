@@ -55,6 +55,17 @@ def worker_model(key: tuple, build: Callable[[], Any]) -> Any:
     return _WORKERS[key]
 
 
+def attempted(call: Callable[[], Any], retries: int) -> tuple[Any, str | None, int]:
+    """What ``call`` returns, the error of the last of 1 + ``retries`` tries if all failed, and the number of tries."""
+    error = None
+    for tries in range(1, retries + 2):
+        try:
+            return call(), None, tries
+        except Exception as e:  # a crop's failure is its own
+            error = safe_error(f"{type(e).__name__}: {e}")
+    return None, error, retries + 1
+
+
 def recognise_crops(crops: DataFrame, recognise: Callable[[Any], list[dict[str, Any]]], retries: int = 1) -> DataFrame:
     """Run ``recognise`` on each crop (job_id, block_id, payload); each is tried 1 + ``retries`` times by itself.
 
@@ -66,14 +77,8 @@ def recognise_crops(crops: DataFrame, recognise: Callable[[Any], list[dict[str,
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
-                found, error, tried = [], None, 0
-                for tried in range(1, retries + 2):
-                    try:
-                        found, error = list(recognise(row.payload)), None
-                        break
-                    except Exception as e:  # a crop's failure is its own
-                        error = safe_error(f"{type(e).__name__}: {e}")
-                out.append((row.job_id, row.block_id, "failed" if error else "ok", tried, error, found))
+                found, error, tries = attempted(lambda row=row: list(recognise(row.payload)), retries)
+                out.append((row.job_id, row.block_id, "failed" if error else "ok", tries, error, found or []))
             yield pd.DataFrame(out, columns=["job_id", "block_id", "status", "attempts", "error", "spans"])
 
     return crops.select("job_id", "block_id", "payload").mapInPandas(run, schema)
@@ -163,6 +168,13 @@ def propose_resiliently(ask: Callable[[list[str]], ChatAnswer], paths: list[str]
     return result
 
 
+def proposal_rows(job_id: str, got: ProposalResult) -> list[tuple]:
+    """PROPOSALS rows of a job's answers; a warning is a row without a path."""
+    text = lambda v: None if v is None else str(v).lower() if isinstance(v, bool) else str(v)
+    rows = [(job_id, i, p["path"], text(p.get("rawValue")), p["evidenceIds"]) for i, p in enumerate(got.proposals)]
+    return rows + [(job_id, len(rows) + i, None, w, []) for i, w in enumerate(got.warnings)]
+
+
 def chat_proposals(make_ask: Callable[[str], Callable[[list[str]], ChatAnswer]], per_request: int = 4, requests: int = 4) -> ProposalProvider:
     """A provider around a chat model: ``make_ask(job_id)`` runs on the worker and returns the function that sends one request."""
 
@@ -172,7 +184,7 @@ def chat_proposals(make_ask: Callable[[str], Callable[[list[str]], ChatAnswer]],
                 out = []
                 for row in frame.itertuples(index=False):
                     got = propose_resiliently(make_ask(row.job_id), list(row.paths), per_request, requests)
-                    out += [(row.job_id, i, p["path"], None if (v := p.get("rawValue")) is None else str(v).lower() if isinstance(v, bool) else str(v), p["evidenceIds"]) for i, p in enumerate(got.proposals)]
+                    out += proposal_rows(row.job_id, got)
                 yield pd.DataFrame(out, columns=["job_id", "pid", "path", "raw", "evidence_ids"])
 
         rows = targets.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "path"))), lambda x: x["path"]).alias("paths"))

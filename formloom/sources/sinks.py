@@ -21,6 +21,11 @@ def write_table(rows: DataFrame, path: str, by_job: bool = False) -> None:
     (writer.partitionBy("job_id") if by_job else writer).parquet(path)
 
 
+def write_records(rows: DataFrame, path: str) -> None:
+    """Layouts, descriptions and other records as JSON lines, nulls kept."""
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def append_trace(events: DataFrame, path: str) -> None:
     """Append the events that the trace at ``path`` doesn't have yet. Writing the same events again adds nothing."""
     spark: SparkSession = events.sparkSession
