@@ -297,7 +297,7 @@ def envelope_schema(spark, sf_dir):
 
 # Requests, crops, layouts.
 
-_ASKED = [("data.serialNumber", 0, "lm"), ("data.baby.firstName", 1, "lm"), ("data.baby.birthWeight", 3, "lm"), ("data.baby.male", 5, "lm"), ("data.baby.female", 6, "lf")]
+_SHOWN = [("data.serialNumber", 0, "lm"), ("data.baby.firstName", 1, "lm"), ("data.baby.birthWeight", 3, "lm"), ("data.baby.male", 5, "lm"), ("data.baby.female", 6, "lf")]
 
 
 def _echo(url, headers, body, timeout):
@@ -311,13 +311,13 @@ def _echo(url, headers, body, timeout):
 
 
 @query(f"""SELECT s.job_id, p.path, s.n || '/' || b.n || '/' || a.id AS raw, s.first AS cited FROM (SELECT job_id, count(*) AS n, min_by(id, seq) AS first FROM spans GROUP BY job_id) s
-    JOIN (SELECT job_id, count(*) AS n FROM blocks GROUP BY job_id) b ON b.job_id = s.job_id CROSS JOIN ({_values(_ASKED, "path, ord, label")}) p JOIN assoc a ON a.job_id = s.job_id AND a.label_id = p.label""")
+    JOIN (SELECT job_id, count(*) AS n FROM blocks GROUP BY job_id) b ON b.job_id = s.job_id CROSS JOIN ({_values(_SHOWN, "path, ord, label")}) p JOIN assoc a ON a.job_id = s.job_id AND a.label_id = p.label""")
 def chat_requests(spark, sf_dir):
     """Requests of four paths and of one for each form: all its texts and blocks are shown, and the controls of the options asked for."""
     from ..plans.engine import Evidence
 
     spans, blocks, controls = forms(spark, sf_dir)
-    targets = spans.select("job_id").distinct().join(spark.createDataFrame([a[:2] for a in _ASKED], "path string, ord int"))
+    targets = spans.select("job_id").distinct().join(spark.createDataFrame([a[:2] for a in _SHOWN], "path string, ord int"))
     ask = chat.ChatModel(Provider(), _BP, _echo).bind(Evidence(spans, blocks, controls))
     return ask(targets).select("job_id", "path", "raw", F.element_at("evidence_ids", 1).alias("cited"))
 

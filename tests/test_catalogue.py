@@ -46,3 +46,9 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_crop_actions_follow_what_was_asked(spark):
+    """Its constant had the name of another one, further down."""
+    got = {r["job_id"]: r["actions"] for r in catalogue.QUERIES["crop_actions"](spark, SF).where("job_id in (4, 6, 9)").collect()}
+    assert got == {4: "upscale+clahe", 6: "upscale+checkbox_focus+adaptive_binarize", 9: "checkbox_focus+upscale"}
