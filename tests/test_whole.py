@@ -77,3 +77,11 @@ def test_recovery_searches_blocks_by_similarity(spark, tmp_path):
             blocks.setdefault(r["job_id"], set()).add(r["block_id"])
     assert blocks and blocks == {k: set(best_blocks(forms[k], [a for p in v for a in aliases[p]])) for k, v in paths.items()}
     assert any(v != {"b0", "b1", "b2", "b3"} for v in blocks.values())
+
+
+def test_small_crops_travel_together_and_large_ones_do_not():
+    from formloom.sources import crops
+
+    row = lambda data: ("j", "b", 1, *[0] * 9, data, [], None)
+    assert [len(t) for t in crops.tables(iter([row(b"x" * 100)] * 999 + [row(None)] * 2))] == [crops.TABLE_ROWS, 1]
+    assert [len(t) for t in crops.tables(iter([row(b"x" * crops.TABLE_BYTES)] * 3 + [row(b"")]))] == [1, 1, 1, 1]
