@@ -85,3 +85,11 @@ def test_small_crops_travel_together_and_large_ones_do_not():
     row = lambda data: ("j", "b", 1, *[0] * 9, data, [], None)
     assert [len(t) for t in crops.tables(iter([row(b"x" * 100)] * 999 + [row(None)] * 2))] == [crops.TABLE_ROWS, 1]
     assert [len(t) for t in crops.tables(iter([row(b"x" * crops.TABLE_BYTES)] * 3 + [row(b"")]))] == [1, 1, 1, 1]
+
+
+def test_form_queries_store_no_spans_and_no_candidates(spark):
+    """Forms are made again where they are read: the plan reaches the tables, and nothing but scores of labels is stored."""
+    for df in (catalogue._candidates(spark, SF), catalogue._decisions(spark, SF)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        stored = [x for x in plan.splitlines() if "LogicalRDD" in x]
+        assert "o_orderkey" in plan and not any("bbox" in x or "evidence_ids" in x or "x1" in x for x in stored)
