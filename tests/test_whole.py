@@ -93,3 +93,20 @@ def test_form_queries_store_no_spans_and_no_candidates(spark):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         stored = [x for x in plan.splitlines() if "LogicalRDD" in x]
         assert "o_orderkey" in plan and not any("bbox" in x or "evidence_ids" in x or "x1" in x for x in stored)
+
+
+def test_forms_are_dealt_once_for_all_readers(spark):
+    """Every reader of the forms shares one exchange, and no row made of them is dealt again, though nothing is small enough to broadcast unasked."""
+    import re
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = catalogue._decisions(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    lines = [re.sub(r"#\d+L?", "", re.sub(r"^[ :+\-|]*", "", x)) for x in plan.splitlines()]
+    below = {lines[i + 1] for i, x in enumerate(lines) if "REPARTITION_BY_NUM" in x}
+    assert len(below) == 1
+    assert not [x for x in lines if "ENSURE_REQUIREMENTS" in x and "job_id" in x]
