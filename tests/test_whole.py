@@ -110,3 +110,10 @@ def test_forms_are_dealt_once_for_all_readers(spark):
     below = {lines[i + 1] for i, x in enumerate(lines) if "REPARTITION_BY_NUM" in x}
     assert len(below) == 1
     assert not [x for x in lines if "ENSURE_REQUIREMENTS" in x and "job_id" in x]
+
+
+def test_corrections_do_not_decide_again(spark):
+    """The corrections of envelopes are made of the jobs: the plan normalises and decides candidates once, and deals the forms once."""
+    plan = catalogue.QUERIES["envelope_fields"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    once = [x for x in plan.splitlines() if "Window [row_number()" in x and "norm_json" in x]
+    assert len(once) == 1 and "ENSURE_REQUIREMENTS" not in "".join(x for x in plan.splitlines() if "job_id" in x)
