@@ -117,3 +117,12 @@ def test_corrections_do_not_decide_again(spark):
     plan = catalogue.QUERIES["envelope_fields"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     once = [x for x in plan.splitlines() if "Window [row_number()" in x and "norm_json" in x]
     assert len(once) == 1 and "ENSURE_REQUIREMENTS" not in "".join(x for x in plan.splitlines() if "job_id" in x)
+
+
+def test_recovery_stores_no_forms_and_deals_no_texts(spark, tmp_path):
+    """Forms, plans and blocks stay in their job's task: only the forms and the blocks' scores are dealt, and nothing with a box is stored."""
+    few_forms(spark, tmp_path)
+    execution = catalogue.QUERIES["recovery_tasks"](spark, str(tmp_path))._jdf.queryExecution()
+    stored = [x for x in execution.optimizedPlan().toString().splitlines() if "LogicalRDD" in x]
+    assert not any("x1" in x or "evidence_ids" in x for x in stored)
+    assert not [x for x in execution.executedPlan().toString().splitlines() if "ENSURE_REQUIREMENTS" in x and "job_id" in x]
