@@ -112,6 +112,21 @@ def test_forms_are_dealt_once_for_all_readers(spark):
     assert not [x for x in lines if "ENSURE_REQUIREMENTS" in x and "job_id" in x]
 
 
+def test_labels_are_scored_without_dealing_forms(spark, monkeypatch):
+    """Texts are scored where orders meet their customers; the forms are dealt once, for what reads them by job, and without a key that the job's name says."""
+    from formloom.operators import mapping
+    from formloom.plans import forms
+
+    seen, scored = [], mapping.all_scores
+    monkeypatch.setattr(mapping, "all_scores", lambda texts, *rest: seen.append(texts) or scored(texts, *rest))
+    found = catalogue._decisions(spark, SF)
+    assert [x for x in seen if "REPARTITION_BY_NUM" in x._jdf.queryExecution().executedPlan().toString()] == []
+    of_spans = forms.form_jobs(spark, SF)[0].select("text").distinct()
+    assert {r[0] for r in seen[0].select("text").distinct().collect()} == {r[0] for r in of_spans.collect()}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "struct(c_name" in plan and "struct(k" not in plan
+
+
 def test_corrections_do_not_decide_again(spark):
     """The corrections of envelopes are made of the jobs: the plan normalises and decides candidates once, and deals the forms once."""
     plan = catalogue.QUERIES["envelope_fields"](spark, SF)._jdf.queryExecution().executedPlan().toString()
