@@ -281,3 +281,26 @@ def test_http_service(spark):
             urllib.request.urlopen(request)
         assert e.value.code == status
     server.shutdown()
+
+
+def test_nothing_is_mapped_or_scored_again_from_the_same_evidence(spark, monkeypatch):
+    """Without a reader, a retry and the re-verification see what the first attempt saw: rules map once, and decisions are made once before and once after."""
+    from formloom.operators import decide, mapping
+
+    calls, mapped, decided = [], mapping.rule_candidates, decide.decide
+    monkeypatch.setattr(mapping, "rule_candidates", lambda *a, **k: calls.append("map") or mapped(*a, **k))
+    monkeypatch.setattr(decide, "decide", lambda *a, **k: calls.append("decide") or decided(*a, **k))
+    e = two_engines(spark)
+    one = Evidence(e.spans.where("source = 'a'"), e.blocks, e.controls)
+    s = Settings.from_dict({"association": {"layout_blocks_enabled": False}})
+    engine = FormEngine(spark, BP, s)
+    found = engine.extract(one)
+    assert calls == ["map", "decide", "decide"]
+    # As mapped, scored and mapped again from scratch.
+    quality = found.readiness.select("job_id", found.readiness["score"].alias("image_quality"))
+    first, last = engine.score(engine.map_rules(one), quality, 0), engine.score(engine.map_rules(one), quality, 1)
+    key = lambda rows: sorted(map(str, rows.collect()))
+    assert {"retry"} < {r["disposition"] for r in first.union(last).collect()}
+    assert key(decide.retried(first, engine.paths, 1)) == key(last) and key(decide.retried(first, engine.paths, 0)) == key(first)
+    kept = ["job_id", "path", "value", "raw", "disposition", "reasons", "evidence_ids"]
+    assert key(found.decisions.select(kept)) == key(last.select(kept))
