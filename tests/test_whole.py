@@ -141,3 +141,20 @@ def test_recovery_stores_no_forms_and_deals_no_texts(spark, tmp_path):
     stored = [x for x in execution.optimizedPlan().toString().splitlines() if "LogicalRDD" in x]
     assert not any("x1" in x or "evidence_ids" in x for x in stored)
     assert not [x for x in execution.executedPlan().toString().splitlines() if "ENSURE_REQUIREMENTS" in x and "job_id" in x]
+
+
+def test_texts_alike_to_labels_are_scored_once(spark):
+    """Numbers and names that no label has reach the scorer as one text, whose scores are those of each."""
+    from pyspark.sql import functions as F
+
+    from formloom.operators import regions
+
+    targets = (("birth weight",), ("sexo", "masculino"), ("x^-]y\\",))
+    groups = (["sn 123", "sn 456", "sn 789"], ["customer 000000017", "customer 000000018"], ["birth weight 34 g", "birth weight 99 g"], ["sexo 1", "sexo 𝟚"], ["", "0", "ß0"], ["b1rth we1ght"], ["x^-]y\\ 1"])
+    rows = spark.createDataFrame([(i, g) for i, g in enumerate(groups)], "i int, texts array<string>")
+    scores = regions._text_scorer(targets, True)
+    for i, sent in rows.select("i", regions.masked(F.col("texts"), targets)).collect():
+        assert len(sent) == (3 if "" in groups[i] else 1)
+        assert {scores(t) for t in groups[i]} == {scores(t) for t in sent}
+    seen = spark.createDataFrame([(["sn 123", "sn 456"],)], "texts array<string>").select(regions.printed_label_scores(F.col("texts"), _BP.label_alias_rows(spark))[1])
+    assert "regexp_replace" in seen._jdf.queryExecution().executedPlan().toString()
