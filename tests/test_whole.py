@@ -158,3 +158,24 @@ def test_texts_alike_to_labels_are_scored_once(spark):
         assert {scores(t) for t in groups[i]} == {scores(t) for t in sent}
     seen = spark.createDataFrame([(["sn 123", "sn 456"],)], "texts array<string>").select(regions.printed_label_scores(F.col("texts"), _BP.label_alias_rows(spark))[1])
     assert "regexp_replace" in seen._jdf.queryExecution().executedPlan().toString()
+
+
+def test_engine_stores_no_forms(spark, tmp_path):
+    """Evidence that is dealt by job is neither stored nor dealt again, and gives the decisions and candidates of stored evidence."""
+    from formloom.plans import forms
+    from formloom.plans.engine import Evidence, FormEngine
+
+    few_forms(spark, tmp_path)
+    spans, blocks, controls, jobs = forms.all_forms(spark, str(tmp_path))
+    more = lambda rows: rows.selectExpr("*", "cast(null as string) as script", "0 as attempt")
+    dealt = FormEngine(spark, _BP).extract(Evidence(more(spans), blocks, controls, jobs, forms.form_texts(spark, str(tmp_path))))
+    execution = dealt.decisions._jdf.queryExecution()
+    stored = [x for x in execution.optimizedPlan().toString().splitlines() if "LogicalRDD" in x]
+    assert not any("x1" in x or "evidence_ids" in x for x in stored)
+    assert not [x for x in execution.executedPlan().toString().splitlines() if "ENSURE_REQUIREMENTS" in x and "job_id" in x]
+    spans, *rest = forms.staged_forms(spark, str(tmp_path))
+    whole = FormEngine(spark, _BP).extract(Evidence(more(spans), *rest))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(dealt.decisions) == rows(whole.decisions) and dealt.decisions.count() > 0
+    kept = [c for c in whole.candidates.columns if c != "attempt"]
+    assert rows(dealt.candidates.select(kept)) == rows(whole.candidates.select(kept))
